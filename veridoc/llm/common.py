@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -105,7 +106,8 @@ def bpe_cache(path: str) -> vec.PieceCache:
     """Token ids of pieces; one per worker process."""
     core = bpe(path)._core_bpe
 
-    def compute(found: list[bytes]) -> list[np.ndarray]:
-        return [np.asarray(core.encode_single_piece(p), np.uint32) for p in found]
+    def compute(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [core.encode_single_piece(p) for p in found]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     return vec.PieceCache(compute, np.uint32)

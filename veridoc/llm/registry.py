@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import matroska, secrets, token_counts
+from veridoc.llm import bpe, matroska, records, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -15,16 +15,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.roundtrip(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op5_media_columns, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op5_media_columns, op9_token_records, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -224,38 +224,46 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 class PieceCache:
     """Values of distinct pieces, kept in a worker between batches; forgets all beyond a bound, so it never changes results.
 
-    ``compute`` gets a list of byte strings and returns one array per string; arrays are
-    stored end to end.
+    ``compute`` gets a list of byte strings and returns their values end to end and the
+    number of values of each. Hashes are kept in a large and a small sorted array, some
+    thirty bytes a piece in all.
     """
 
-    def __init__(self, compute, dtype, bound: int = 600_000):
+    def __init__(self, compute, dtype, bound: int = 2_500_000):
         self.compute, self.dtype, self.bound = compute, dtype, bound
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.known = [none, none]
         self.values = np.zeros(0, self.dtype)
         self.offsets = np.zeros(1, np.int64)
 
     def slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The slot of each span; values of new ones are computed in one call."""
+        if not len(start):
+            return np.zeros(0, np.int64)
         h, first, inverse = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        if len(self.slot) + len(h) > self.bound:
+        if len(self.offsets) + len(h) > self.bound:
             self.clear()
-        keys = h.tolist()
-        got = [self.slot.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(got) if s < 0]
-        if new:
+        got = np.full(len(h), -1, np.int64)
+        for keys, slots in self.known:
+            if len(keys):
+                at = np.searchsorted(keys, h)
+                at[at == len(keys)] = 0
+                hit = keys[at] == h
+                got[hit] = slots[at[hit]]
+        new = np.flatnonzero(got < 0)
+        if len(new):
             raw = buf.tobytes()
-            s, e = start[first].tolist(), end[first].tolist()
-            arrays = self.compute([raw[s[i] : e[i]] for i in new])
-            base = len(self.offsets) - 1
-            for j, i in enumerate(new):
-                got[i] = self.slot[keys[i]] = base + j
-            lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
+            values, lengths = self.compute([raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            got[new] = len(self.offsets) - 1 + np.arange(len(new))
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            self.values = np.concatenate([self.values, *arrays]).astype(self.dtype, copy=False)
-        return np.asarray(got, np.int64)[inverse]
+            self.values = np.concatenate([self.values, values]).astype(self.dtype, copy=False)
+            self.known[1] = _merged(self.known[1], (h[new], got[new].astype(np.int32)))
+            if len(self.known[1][0]) > 200_000:
+                self.known = [_merged(*self.known), (h[:0], self.known[1][1][:0])]
+        return got[inverse]
 
     def lengths(self, slots: np.ndarray) -> np.ndarray:
         return self.offsets[slots + 1] - self.offsets[slots]
@@ -265,6 +273,12 @@ class PieceCache:
         return gather(self.values, self.offsets[slots], self.lengths(slots))
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
 def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """values[start:start+length] of every span, end to end."""
     total = int(length.sum())
