@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import bpe, matroska, records, secrets, token_counts
+from veridoc.llm import bpe, matroska, quality, records, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id"])
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.roundtrip(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -32,7 +36,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op5_media_columns, op9_token_records, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op5_media_columns, op6_tokeniser_fertility, op9_token_records, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
