@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import bpe, matroska, quality, records, secrets, token_counts
+from veridoc.llm import bpe, html_text, matroska, quality, records, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -36,7 +40,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op5_media_columns, op6_tokeniser_fertility, op9_token_records, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_html_extraction, op4_byte_bpe, op5_media_columns, op6_tokeniser_fertility, op9_token_records, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
