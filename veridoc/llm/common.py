@@ -61,11 +61,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int | None:
+    """The planner's estimate of the input's size, None if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else None
+
+
 def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Enough partitions that each holds about that much of the input as planned, and no fewer than the session's."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-min(size, 1 << 60) // bytes_each) if size < 1 << 60 else 0)
+    size = planned_bytes(df) or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
 
 
 # -- vocabularies -----------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import bpe, html_text, jaccard, matroska, quality, records, secrets, token_counts
+from veridoc.llm import bpe, html_text, jaccard, matroska, quality, records, secrets, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id"])
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_groups(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -44,7 +48,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_html_extraction, op4_byte_bpe, op5_media_columns, op6_tokeniser_fertility, op8_ngram_jaccard_join, op9_token_records, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_html_extraction, op4_byte_bpe, op5_media_columns, op6_tokeniser_fertility, op7_suffix_array_dedup, op8_ngram_jaccard_join, op9_token_records, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
