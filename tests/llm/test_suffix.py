@@ -46,6 +46,8 @@ def test_partitions_are_dealt_one_by_one(spark):
         values = suffix_dedup.dealt_evenly(n)
         df = spark.createDataFrame([(v,) for v in values], "v int")
         assert sorted(r[0] for r in df.selectExpr(f"pmod(hash(v), {n})").collect()) == list(range(n))
+        thrice = suffix_dedup.dealt_evenly(n, 3)
+        assert len(set(thrice)) == 3 * n and [suffix_dedup._murmur(v) % n for v in thrice] == sorted(3 * list(range(n)))
 
 
 @pytest.mark.parametrize("seed,length,gram", [(1, 10, 4), (2, 10, 10), (3, 50, 16)])

@@ -41,8 +41,10 @@ from veridoc.llm.common import partitions_for, planned_bytes
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 2 << 20
+#: Up to so many chunks are dealt to partitions by a table.
+EVEN = 8192
 
-_HOLD = "bucket int, kind int, p int, j int, docs binary, ids binary, starts binary, lengths binary, data binary"
+_HOLD = "bucket int, kind int, c int, docs binary, ids binary, starts binary, lengths binary, data binary"
 
 
 # -- suffixes ---------------------------------------------------------------------------------
@@ -177,16 +179,17 @@ def _murmur(x: int) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-def dealt_evenly(n: int, most: int = 4096) -> list[int]:
-    """n integers that ``repartition(n, ...)`` sends to n different partitions; for many partitions any integers, several to each."""
-    if n > most:
-        return list(range(n))
-    found: dict[int, int] = {}
-    x = 0
-    while len(found) < n:
-        found.setdefault(_murmur(x) % n, x)
+def dealt_evenly(n: int, each: int = 1) -> list[int]:
+    """Integers of which ``repartition(n, ...)`` sends exactly ``each`` to each of n partitions, one partition after another."""
+    found: list[list[int]] = [[] for _ in range(n)]
+    x = missing = 0
+    while missing < n * each:
+        place = found[_murmur(x) % n]
+        if len(place) < each:
+            place.append(x)
+            missing += 1
         x += 1
-    return [found[i] for i in range(n)]
+    return [x for place in found for x in place]
 
 
 # -- the operator -----------------------------------------------------------------------------
@@ -203,29 +206,31 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
     n = partitions_for(docs)
     size = planned_bytes(docs)
     per = 8 if size is None else max(1, -(-2 * size // (n * CHUNK_BYTES)))  # chunks in a partition; packed text is half its size
-    slots = dealt_evenly(n)
     h = F.xxhash64(F.coalesce("id", F.xxhash64("text")))
-    place = F.pmod(h, F.lit(n)) + 1
-    p = F.element_at(F.array(*map(F.lit, slots)), place.cast("int")) if n <= 4096 else place.cast("int")
-    dealt = docs.select("id", "text", p.alias("p"), F.pmod(F.shiftright(h, 20), F.lit(per)).cast("int").alias("j")).repartition(n, "p")
+    if n * per <= EVEN:
+        slots = dealt_evenly(n)
+        c = F.element_at(F.array(*map(F.lit, dealt_evenly(n, per))), (F.pmod(h, F.lit(n * per)) + 1).cast("int"))
+    else:  # many chunks to a partition come out even by themselves
+        slots = list(range(n))
+        c = F.pmod(h, F.lit(n * max(per, 8))).cast("int")
+    dealt = docs.select("id", "text", c.alias("c")).repartition(n, "c")
 
     def names_of(table: pa.Table) -> pa.Table:
-        c = Chunk(table, length, gram)
-        bucket = buckets_of(c.names, n)
+        held = Chunk(table, length, gram)
+        bucket = buckets_of(held.names, n)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         stop = np.append(cut[1:], len(bucket))
         k = len(cut)
-        first = lambda name: [table.column(name)[0].as_py()] * k
         return pa.table(
-            {"bucket": pa.array([slots[b] for b in bucket[cut].tolist()], pa.int32()), "b": pa.array(bucket[cut], pa.int32()), "p": pa.array(first("p"), pa.int32()), "j": pa.array(first("j"), pa.int32()), "names": pa.array([c.names[s:e].tobytes() for s, e in zip(cut, stop)], pa.binary())}
+            {"bucket": pa.array([slots[b] for b in bucket[cut].tolist()], pa.int32()), "b": pa.array(bucket[cut], pa.int32()), "c": table.column("c").slice(0, 1).take(pa.array([0] * k, pa.int64())), "names": pa.array([held.names[s:e].tobytes() for s, e in zip(cut, stop)], pa.binary())}
         )
 
-    sent = dealt.groupBy("p", "j").applyInArrow(names_of, "bucket int, b int, p int, j int, names binary").repartition(n, "bucket")
+    sent = dealt.groupBy("c").applyInArrow(names_of, "bucket int, b int, c int, names binary").repartition(n, "bucket")
 
     def answer(batches):
         rows, names = [], []
         for b in batches:
-            for where, x in zip(zip(*(b.column(c).to_pylist() for c in ("b", "p", "j"))), b.column("names")):
+            for where, x in zip(zip(*(b.column(c).to_pylist() for c in ("b", "c"))), b.column("names")):
                 rows.append(where)
                 names.append(np.frombuffer(x.as_buffer(), np.uint64).copy())
         if not rows:
@@ -242,15 +247,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         for k in range(0, len(rows), 2000):
             part = [(*rows[i], np.packbits(bits).tobytes()) for i in range(k, min(k + 2000, len(rows))) if (bits := twice[ends[i] - sizes[i] : ends[i]]).any()]
             if part:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int32()) for i, c in enumerate(zip(*part))], names=["b", "p", "j", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 2 else pa.int32()) for i, c in enumerate(zip(*part))], names=["b", "c", "bits"])
 
-    answers = sent.mapInArrow(answer, "b int, p int, j int, bits binary")
-    hold = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("p", pa.int32()), ("j", pa.int32()), ("docs", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
+    answers = sent.mapInArrow(answer, "b int, c int, bits binary")
+    hold = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("c", pa.int32()), ("docs", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 
     def settle(key, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return hold.empty_table()
-        pj = [x.as_py() for x in key]
+        mine = key[0].as_py()
         c = Chunk(table, length, gram)
         bucket = buckets_of(c.names, n)
         elsewhere = np.zeros(len(c.names), bool)
@@ -267,7 +272,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         rows = []
         if gone.any():
             d, s, e = runs_of(c.doc[gone], c.at[gone] - c.off[c.doc[gone]])
-            rows.append((pj[0], 1, *pj, d.astype(np.int32).tobytes(), None, s.tobytes(), e.tobytes(), None))
+            rows.append((mine, 1, mine, d.astype(np.int32).tobytes(), None, s.tobytes(), e.tobytes(), None))
         ship = np.flatnonzero(c.by_window(elsewhere) & ~gone)
         if len(ship):
             name, doc, at = c.low[ship], c.doc[ship], c.at[ship]
@@ -282,20 +287,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)]):
                 f, k = first[a:b], count[a:b]
                 data = vec.gather(c.buf, at[f], k + length - 1)
-                rows.append((slots[int(to[a])], 0, *pj, doc[f].astype(np.int32).tobytes(), c.ids[doc[f]].tobytes(), (at[f] - c.off[doc[f]]).tobytes(), k.astype(np.int64).tobytes(), data.tobytes()))
+                rows.append((slots[int(to[a])], 0, mine, doc[f].astype(np.int32).tobytes(), c.ids[doc[f]].tobytes(), (at[f] - c.off[doc[f]]).tobytes(), k.astype(np.int64).tobytes(), data.tobytes()))
         if not rows:
             return hold.empty_table()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), hold.types)], schema=hold)
 
-    stretches = dealt.groupBy("p", "j").cogroup(answers.groupBy("p", "j")).applyInArrow(settle, _HOLD).repartition(n, "bucket")
-    gone_kind = "p int, j int, docs binary, starts binary, ends binary"
+    stretches = dealt.groupBy("c").cogroup(answers.groupBy("c")).applyInArrow(settle, _HOLD).repartition(n, "bucket")
+    gone_kind = "c int, docs binary, starts binary, ends binary"
 
     def find(batches):
         held = []
         for b in batches:
             through = b.filter(pc.equal(b.column("kind"), 1))
             if through.num_rows:
-                yield pa.RecordBatch.from_arrays([through.column(c) for c in ("p", "j", "docs", "starts", "lengths")], names=["p", "j", "docs", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([through.column(c) for c in ("c", "docs", "starts", "lengths")], names=["c", "docs", "starts", "ends"])
             held.append(b.filter(pc.equal(b.column("kind"), 0)))
         held = [b for b in held if b.num_rows]
         if not held:
@@ -305,7 +310,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         parts = read("docs", np.int32)
         chunk = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
         docs = np.concatenate(parts)
-        places = [x for b in held for x in zip(b.column("p").to_pylist(), b.column("j").to_pylist())]
+        places = [x for b in held for x in b.column("c").to_pylist()]
         buf = np.concatenate(read("data", np.uint8))
         del held, parts
         at = _window_starts(lengths, length)
@@ -320,9 +325,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         out = []
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(c)]):
             x, y, z = runs_of(d[a:b], s[a:b])
-            out.append((*places[c[a]], x.astype(np.int32).tobytes(), y.tobytes(), z.tobytes()))
+            out.append((places[c[a]], x.astype(np.int32).tobytes(), y.tobytes(), z.tobytes()))
         for k in range(0, len(out), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if i < 2 else pa.binary()) for i, v in enumerate(zip(*out[k : k + 500]))], names=["p", "j", "docs", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if i else pa.int32()) for i, v in enumerate(zip(*out[k : k + 500]))], names=["c", "docs", "starts", "ends"])
 
     gone_runs = stretches.mapInArrow(find, gone_kind)
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
@@ -348,5 +353,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         cols = [pa.array(c.ids, pa.int64(), mask=c.null), np.diff(c.off), removed, spans, [hashlib.sha256(x).hexdigest() for x in left]] + [left] * with_text
         return pa.Table.from_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x for x, (_, t) in zip(cols, fields)], schema=pa.schema(fields))
 
-    out = dealt.groupBy("p", "j").cogroup(gone_runs.groupBy("p", "j")).applyInArrow(mark, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
+    out = dealt.groupBy("c").cogroup(gone_runs.groupBy("c")).applyInArrow(mark, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumnRenamed("id", id_col)
