@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridoc.llm import bpe, html_text, jaccard, matroska, quality, records, secrets, suffix_dedup, token_counts
+from veridoc.llm import bpe, html_text, jaccard, matroska, mixing, quality, records, secrets, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,8 +52,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_html_extraction, op4_byte_bpe, op5_media_columns, op6_tokeniser_fertility, op7_suffix_array_dedup, op8_ngram_jaccard_join, op9_token_records, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_html_extraction, op3_source_mixing, op4_byte_bpe, op5_media_columns, op6_tokeniser_fertility, op7_suffix_array_dedup, op8_ngram_jaccard_join, op9_token_records, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": mixing.sql()}
