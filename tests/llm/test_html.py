@@ -54,6 +54,14 @@ def test_noise_goes_and_short_blocks_stay(holder):
         assert got[0] == "The title" and got[-3:] == ["Short.", LONG.strip(), "End & <done> é x"] and len(got) == 8, got
 
 
+def test_own_headers_and_page_forms():
+    body = f"<div class=post><div class='post-header'><h1>Title</h1></div><p>{LONG * 3}</p><p>{LONG}</p></div>"
+    want = ["Title", (LONG * 3).strip(), LONG.strip()]
+    assert html_text.blocks(f"<body><div class=header>Site name</div>{body}</body>") == want
+    assert html_text.blocks(f"<body><form id=f>{body}</form></body>") == want
+    assert html_text.blocks(f"<body>{body}<form><p>{LONG}</p></form></body>") == want
+
+
 def test_chunks_give_the_same_events(monkeypatch):
     page = "<body><article><p>a &amp; b &eacute; <b>c</b></p><script>x</script><p>" + LONG * 3 + "</article>"
     want = html_text.main_text(page)

@@ -38,8 +38,10 @@ SKIPPED = frozenset("head script style noscript template svg math iframe object
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip status".split())
 #: Parts of class names and ids that say the same.
 SKIPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement adsense adbox banner banners breadcrumb breadcrumbs byline captcha comment comments commentlist cookie cookies consent disclaimer disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promos promotion recommended related replies reply respond share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription taboola tags teaser teasers toc toolbar tooltip widget widgets".split()
+    "ad ads adv advert adverts advertisement adsense adbox banner banners alert alerts breadcrumb breadcrumbs captcha comment comments commentlist cookie cookies consent disclaimer discussion disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promos promotion recommended related replies reply respond share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar tooltip topbar widget widgets".split()
 )
+#: A header that names one of these, or stands in an article, is the article's own.
+OWN_HEADER = frozenset("article content entry page post story title".split())
 #: Elements that are never skipped for their names.
 ROOTS = frozenset("html body main article".split())
 SCOPES = frozenset("html body main article section div td center blockquote ul ol dl table tbody tr li details figure".split())
@@ -59,8 +61,9 @@ class Line:
 class Events(HTMLParser):
     """Lines of a page from start tags, end tags and text, as they come."""
 
-    def __init__(self):
+    def __init__(self, skipped: frozenset[str] = SKIPPED):
         super().__init__(convert_charrefs=True)
+        self.skipped = skipped
         self.lines: list[Line] = []
         #: name, whether it is skipped, number of the element
         self.stack: list[tuple[str, bool, int]] = []
@@ -77,7 +80,7 @@ class Events(HTMLParser):
             self.lines.append(Line(path, skipped))
 
     def _skips(self, tag: str, attrs) -> bool:
-        if tag in SKIPPED:
+        if tag in self.skipped:
             return True
         inside = any(name in ("article", "main") for name, _, _ in self.stack)
         if tag == "header" and not inside:
@@ -90,7 +93,7 @@ class Events(HTMLParser):
         if found.get("role", "").lower() in SKIPPED_ROLES:
             return True
         words = {w.lower() for w in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        if inside and tag == "header":
+        if inside or words & OWN_HEADER:
             words -= {"header", "masthead"}
         return bool(words & SKIPPED_NAMES)
 
@@ -149,8 +152,8 @@ class Events(HTMLParser):
             line.links += len(data.strip())
 
 
-def events(html: str) -> Events:
-    e = Events()
+def events(html: str, skipped: frozenset[str] = SKIPPED) -> Events:
+    e = Events(skipped)
     for k in range(0, len(html), CHUNK):
         e.feed(html[k : k + CHUNK])
     e.close()
@@ -169,9 +172,12 @@ def smooth(values: list[float]) -> list[float]:
 
 def blocks(html: str) -> list[str]:
     """The blocks of the main text, in page order."""
-    e = events(html)
-    texts = [" ".join("".join(x.parts).split()) for x in e.lines]
-    lines = [(x, t) for x, t in zip(e.lines, texts) if t]
+    for skipped in (SKIPPED, SKIPPED - {"form"}):  # a form round the whole page is no form
+        e = events(html, skipped)
+        texts = [" ".join("".join(x.parts).split()) for x in e.lines]
+        lines = [(x, t) for x, t in zip(e.lines, texts) if t]
+        if any(not x.skipped for x, _ in lines) or "form" not in e.names:
+            break
     if not lines:
         return []
     open_ = [not x.skipped for x, _ in lines]
