@@ -27,8 +27,8 @@ from veridoc.llm.common import checkpointed
 MARGINS = ("source", "lang", "topic")
 #: Target shares are present shares to this power: 1 keeps the mix, 0 makes values equal.
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-#: Wanted part of all tokens; sweeps over the margins; sweeps between writes; cells that may be broadcast.
-BUDGET, SWEEPS, SWEEPS_A_PLAN, BROADCAST_CELLS = 0.5, 24, 8, 100_000
+#: Wanted part of all tokens; sweeps over the margins; sweeps between writes; cells that may be broadcast or raked in one task.
+BUDGET, SWEEPS, SWEEPS_A_PLAN, FEW_CELLS = 0.5, 24, 8, 100_000
 SEED = "mix-1"
 
 #: A topic by surface form, in SQL that both engines read.
@@ -67,11 +67,14 @@ def rake(cells: DataFrame, sweeps: int = SWEEPS, temperature: dict[str, float] =
     """Cells with ``share``, their calibrated part of all tokens; sums of cells only, so each step is small."""
     w = reduce(lambda df, m: df.join(targets(cells, m, temperature[m]), m), MARGINS, cells.filter("tokens > 0"))
     w = checkpointed(w.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1)))))
+    few = w.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+    w = w.coalesce(1) if few else w  # few cells rake in one task without a shuffle
     for k in range(sweeps):
         for m in MARGINS:
             w = w.withColumn("share", F.col("share") * F.col(f"target_{m}") / F.sum("share").over(Window.partitionBy(m)))
         if (k + 1) % SWEEPS_A_PLAN == 0:
             w = checkpointed(w)
+            w = w.coalesce(1) if few else w
     return w
 
 
@@ -94,7 +97,7 @@ def draw(df: DataFrame, id_col: str = "doc_id", column: str = "text", budget: fl
     """Per row: id, margins, ``n_tokens``, ``probability`` and ``drawn``."""
     docs = described(df, id_col, column)
     rate = rates(docs, budget)
-    few = rate.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    few = rate.limit(FEW_CELLS + 1).count() <= FEW_CELLS
     out = docs.join(F.broadcast(rate) if few else rate, list(MARGINS))
     out = out.withColumn("drawn", uniform(F.col("id"), seed) < F.col("probability"))
     return out.select(F.col("id").alias(id_col), *MARGINS, "n_tokens", "probability", "drawn")
@@ -103,7 +106,7 @@ def draw(df: DataFrame, id_col: str = "doc_id", column: str = "text", budget: fl
 def mix(df: DataFrame, id_col: str = "doc_id", column: str = "text", budget: float = BUDGET, seed: str = SEED) -> DataFrame:
     """The drawn rows, with the input's columns. The rate is looked up beside the row, so texts aren't shuffled."""
     rate = rates(described(df, id_col, column), budget)
-    few = rate.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    few = rate.limit(FEW_CELLS + 1).count() <= FEW_CELLS
     marked = df.withColumns({f"__{m}": v for m, v in _margins(df, column).items()})
     rate = rate.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("probability").alias("__probability"))
     out = marked.join(F.broadcast(rate) if few else rate, [f"__{m}" for m in MARGINS])
