@@ -70,7 +70,7 @@ def corpus(seed, families, size):
 @pytest.mark.parametrize("tight", [False, True])
 def test_components_equal_brute_force(spark, monkeypatch, seed, tight):
     if tight:
-        for name, n in (("PACKED", 3), ("BLOCK", 2), ("CELL", 2), ("FLUSH", 500)):
+        for name, n in (("BLOCK", 2), ("CELL", 2), ("FLUSH", 500)):
             monkeypatch.setattr(jaccard, name, n)
     rows = corpus(seed, 40, 14)
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, key string, n int").repartition(5)

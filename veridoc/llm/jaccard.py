@@ -5,6 +5,9 @@ would not split a corpus: almost all pairs lie at distance 1 exactly, every wind
 every document. The join therefore descends through spaces in which a set's image is never
 farther from another's than the sets themselves, and uses regions and windows in each:
 
+0. *The rest of the corpus as a pivot.* A set's share of shingles that no other set has is a
+   lower bound of its distance to every other set. Sets for which it exceeds r link with
+   nothing but copies and leave here; shingles are asked for among all sets, in packed form.
 1. *Sizes.* d(x, y) >= 1 - min/max of the sizes. Pivots are sizes in geometric steps, regions
    are bands, and the triangle inequality's window replicates the sets just above a band's
    upper end into that band.
@@ -13,14 +16,16 @@ farther from another's than the sets themselves, and uses regions and windows in
    both sets have the same restriction, at distance 0. Regions are the distinct restrictions
    of a class, windows have width 0. A set has an empty restriction in s classes at most,
    else its empty ones are regions too.
-3. *Within a region* the smallest member is the pivot. Distances to it are computed from the
-   whole sets; those within r link to it. Where the members then form one group, the region
-   is done. Else the members outside its largest group are joined with all members, in blocks of
-   bounded size, and a pair is compared only if its distances to the pivot differ by r at most.
+3. *Whole sets.* The smallest member of a region is its pivot, and regions with one pivot form
+   its cell. Distances to the pivot are computed from the whole sets; those within r link to
+   it. Where the members then form one group, the cell is done. Else the members outside its
+   largest group are joined with all members, in blocks of bounded size; members out of the
+   window (nearer to the pivot than any of the rest by more than r) don't go there, and a pair
+   is compared only if its distances to the pivot differ by r at most.
 
 Equal sets are one node from the start, so copies meet once a map task. Shingles and sets are
 identified by 64-bit hashes. What crosses the network is packed: one row carries thousands
-of signatures, each signature two integers.
+of hashes or signatures.
 """
 
 from __future__ import annotations
@@ -29,17 +34,18 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm import vec
-from veridoc.llm.common import checkpointed, partitions_for, with_columns
+from veridoc.llm.chunks import Dealt, Ordered, deal, elsewhere, unpacked
+from veridoc.llm.common import checkpointed, with_columns
 from veridoc.llm.graph import components
 
 #: Growth of the size bands; rows of signatures packed at once; buckets for them.
 STEP, FLUSH, BUCKETS = 1.5, 1_000_000, 2048
-#: Members of a region in one packed row; members of one side in a block; members that meet a pivot in one cell.
-PACKED, BLOCK, CELL = 2000, 256, 256
+#: Members of one side in a block; members that meet a pivot in one stream.
+BLOCK, CELL = 256, 256
 
 
 class Space:
@@ -53,7 +59,15 @@ class Space:
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, int(edges[-1] * STEP)))
         self.edges = np.array(edges, np.int64)
-        self.spare = np.where(self.edges < 40, 1, 2)
+        self.reach = float(1 - Fraction(self.p, self.q)) + 1e-9
+        # classes, and of them spare ones: more than the smallest set of a band leaves empty, but for rare chance
+        top = np.append(self.edges[1:], 1 << 62) - 1
+        need = np.minimum(self.differences(top), 1 << 40) + 1
+        spare = np.ones(len(self.edges))
+        for _ in range(200):
+            empty = (need + spare) * np.exp(-self.edges / (need + spare))
+            spare = np.minimum(np.maximum(spare, np.ceil(empty + 4 * np.sqrt(empty))), need)
+        self.spare = spare.astype(np.int64)
 
     def links(self, common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.q * common >= self.p * (a + b - common)
@@ -150,8 +164,9 @@ def signatures(w: np.ndarray, off: np.ndarray, space: Space) -> tuple[np.ndarray
         names.append(vec.mix(_sums(value[index], first) + tag(band[row[first]], cls[first])))
         owners.append(which[row[first]])
         filled = np.bincount(row[first], minlength=len(which))
+        ends = np.cumsum(n[which])
         for r in np.flatnonzero(m - filled > space.spare[band]).tolist():
-            empty = np.setdiff1d(np.arange(m[r]), cls[row == r])
+            empty = np.setdiff1d(np.arange(m[r]), cls[ends[r] - n[which[r]] : ends[r]])
             names.append(vec.mix(tag(np.full(len(empty), band[r]), empty)))
             owners.append(np.full(len(empty), which[r]))
     if not names:
@@ -162,21 +177,44 @@ def signatures(w: np.ndarray, off: np.ndarray, space: Space) -> tuple[np.ndarray
 # -- stages -----------------------------------------------------------------------------------
 
 
-def _sets_of(df: DataFrame, id_col: str, column: str, words: int) -> DataFrame:
-    """(id, n, key) of every row."""
+class _Sets(Ordered):
+    """The sets of a chunk, one row per text, and the distinct hashes in them; rows with a null id count for nothing."""
 
-    def make():
-        def fn(texts):
-            w, off = shingle_sets(*vec.flat(texts), words)
-            return [np.diff(off), set_keys(w, off)]
+    def __init__(self, table: pa.Table, words: int):
+        super().__init__(table)
+        self.w, self.at = shingle_sets(self.buf, self.off, words)
+        self.n = np.diff(self.at)
+        self.keys = set_keys(self.w, self.at)
+        live = np.flatnonzero((self.n > 0) & ~self.null)
+        self.first = live[np.unique(self.keys[live], return_index=True)[1]]  # the first row of each set
+        values = vec.gather(self.w, self.at[self.first], self.n[self.first])
+        self.names, self.inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+        self.several = count > 1
+        self.row = np.repeat(np.arange(len(self.first)), self.n[self.first])
 
-        return fn
 
-    return with_columns(df.select(F.col(id_col).alias("id"), F.col(column).alias("text")), "text", "n bigint, key bigint", make, keep=["id"])
+def _candidates(dealt: Dealt, words: int, space: Space) -> DataFrame:
+    """``(id, n, key, shingles)`` of every row; the packed sorted set only in the chunk's first row of a set that other sets cover up to the threshold."""
+    answers = elsewhere(dealt, lambda table: _Sets(table, words).names)
+    n = dealt.n
+    fields = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary())])
+
+    def covered(key, table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return fields.empty_table()
+        s = _Sets(table, words)
+        shared = s.several | unpacked(s.names, replies, n)
+        cover = np.bincount(s.row[shared[s.inverse]], minlength=len(s.first))
+        packed: list = [None] * len(s.n)
+        for i in s.first[space.q * cover >= space.p * s.n[s.first]].tolist():
+            packed[i] = s.w[s.at[i] : s.at[i + 1]].tobytes()
+        return pa.Table.from_arrays([pa.array(s.ids, pa.int64(), mask=s.null), pa.array(s.n), pa.array(s.keys), pa.array(packed, pa.binary())], schema=fields)
+
+    return dealt.docs.groupBy("c").cogroup(answers.groupBy("c")).applyInArrow(covered, "id bigint, n bigint, key bigint, shingles binary")
 
 
-def _regions(df: DataFrame, column: str, words: int, space: Space, buckets: int) -> DataFrame:
-    """Regions with two members or more: ``region`` (a name of the member list), ``pivot``, ``part`` and ``members`` (packed keys)."""
+def _cells(sets: DataFrame, space: Space, buckets: int) -> DataFrame:
+    """Distinct pairs (pivot ``a``, member ``b``) of regions with two members or more."""
 
     def pack(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -197,12 +235,11 @@ def _regions(df: DataFrame, column: str, words: int, space: Space, buckets: int)
                 names=["bucket", "names", "keys"],
             )
 
-        for b in vec.slices(batches, column):
-            w, off = shingle_sets(*vec.flat(b.column(column)), words)
-            keys = set_keys(w, off)
-            names, of = signatures(w, off, space)
+        for b in vec.slices(batches, "shingles"):
+            buf, off = vec.flat(b.column("shingles"))
+            names, of = signatures(np.ascontiguousarray(buf).view(np.uint64), off // 8, space)
             if len(names):
-                held.append((names, keys[of]))
+                held.append((names, np.asarray(b.column("key").to_numpy(zero_copy_only=False), np.int64)[of]))
             if sum(len(x) for x, _ in held) > FLUSH:
                 yield flush()
         if held:
@@ -225,56 +262,23 @@ def _regions(df: DataFrame, column: str, words: int, space: Space, buckets: int)
         new = np.ones(len(names), bool)
         new[1:] = (names[1:] != names[:-1]) | (keys[1:] != keys[:-1])
         names, keys = names[new], keys[new]
-        first = np.flatnonzero(np.diff(names, prepend=~names[:1])) if len(names) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(names)))
-        lists = vec.mix(_sums(vec.mix(keys.view(np.uint64)), first) + size.astype(np.uint64)) if len(first) else names
-        _, once = np.unique(lists, return_index=True)
-        rows = []
-        for i in once[size[once] > 1].tolist():
-            a, g = int(first[i]), int(size[i])
-            for part, k in enumerate(range(a, a + g, PACKED)):
-                rows.append((int(lists[i].view(np.int64)), int(keys[a]), g, part, keys[k : min(k + PACKED, a + g)].tobytes()))
-            if len(rows) >= 5000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-    def _batch(rows):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["region", "pivot", "size", "part", "members"])
-
-    packed = df.select(column).mapInArrow(pack, "bucket int, names binary, keys binary")
-    dealt = packed.repartition(partitions_for(df, 64 << 20), "bucket")
-    found = dealt.mapInArrow(meet, "region bigint, pivot bigint, size bigint, part int, members binary")
-    return checkpointed(found.dropDuplicates(["region", "part"]))
-
-
-def _members(regions: DataFrame) -> DataFrame:
-    """A row per member: ``region, pivot, node``."""
-
-    def run(batches):
-        for b in batches:
-            keys = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("members")]
-            n = np.array([len(k) for k in keys], np.int64)
-            cols = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), n) for c in ("region", "pivot")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["region", "pivot", "node"])
-
-    return regions.select("region", "pivot", "members").mapInArrow(run, "region bigint, pivot bigint, node bigint")
-
-
-def _loaded(df: DataFrame, id_col: str, column: str, words: int, wanted: DataFrame) -> DataFrame:
-    """``(key, shingles)``: packed sorted sets of the wanted nodes ``(key, id)``, each from one of its rows."""
-
-    def run(batches):
-        for b in vec.slices(batches):
-            w, off = shingle_sets(*vec.flat(b.column("text")), words)
-            raw = w.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(set_keys(w, off)), pa.array([raw[8 * s : 8 * e] for s, e in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())], names=["key", "own", "shingles"])
-
-    texts = df.select(F.col(id_col).alias("id"), F.col(column).alias("text")).join(wanted, "id").select("key", "text")
-    found = texts.mapInArrow(run, "key bigint, own bigint, shingles binary").filter("key = own")  # rows that share an id may have other texts
-    return checkpointed(found.select("key", "shingles").dropDuplicates(["key"]))
+        if not len(names):
+            return
+        first = np.ones(len(names), bool)
+        first[1:] = names[1:] != names[:-1]
+        pivot = keys[np.flatnonzero(first)][np.cumsum(first) - 1]
+        pivot, keys = pivot[~first], keys[~first]
+        order = np.lexsort((keys, pivot))
+        pivot, keys = pivot[order], keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (pivot[1:] != pivot[:-1])
+        pivot, keys = pivot[new], keys[new]
+        for k in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[k : k + 100_000]), pa.array(keys[k : k + 100_000])], names=["a", "b"])
+
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.select("key", "shingles").mapInArrow(pack, "bucket int, names binary, keys binary").repartition(n, "bucket")
+    return checkpointed(dealt.mapInArrow(meet, "a bigint, b bigint").distinct())
 
 
 def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -304,25 +308,28 @@ def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", "shingles").mapInArrow(run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, distances: DataFrame) -> DataFrame:
-    """Members of regions of three or more that hold several groups so far: ``region, node, label, far`` (distance to the pivot) and ``rest``, true outside the region's largest group."""
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = labelled.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("size"), F.max("n").alias("top"))
-    open_ = main.filter("groups > 1 AND size > 2").select("region", "main", "size", (F.col("size") - F.col("top")).alias("others"))
-    d = distances.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far"))
-    return labelled.join(open_, "region").join(d, ["pivot", "node"], "left").select("region", "node", "label", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("label") != F.col("main")).alias("rest"), "size", "others")
+def _unsettled(distances: DataFrame, labels: DataFrame, reach: float) -> DataFrame:
+    """Members of cells that hold several groups so far: ``cell, node, label, far`` (distance to the pivot), ``rest`` (outside the largest group), and the cell's numbers of members and of the rest."""
+    far = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
+    members = distances.select(F.col("a").alias("cell"), F.col("b").alias("node"), far.alias("far"))
+    pivots = distances.select(F.col("a").alias("cell"), F.col("a").alias("node"), F.lit(0.0).alias("far")).distinct()
+    labelled = members.unionByName(pivots).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = labelled.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("near"))
+    main = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("size"))
+    open_ = main.filter("groups > 1 AND size > 2")
+    rest = sizes.join(open_, "cell").filter("label <> main").groupBy("cell").agg(F.first("main").alias("main"), F.min("near").alias("near"), F.sum("n").alias("others"), F.first("size").alias("size"))
+    return labelled.join(rest, "cell").filter(F.col("far") >= F.col("near") - reach).select("cell", "node", "label", "far", (F.col("label") != F.col("main")).alias("rest"), "size", "others")
 
 
 def _in_blocks(open_members: DataFrame, sets: DataFrame, space: Space) -> DataFrame:
-    """Links that join different groups, from blocks (some of the rest) x (some of all members) of a region; a spanning set of each block's links."""
+    """Links that join different groups, from blocks (some of the rest) x (some of all members) of a cell; a spanning set of each block's links."""
     spark = open_members.sparkSession
-    reach = float(1 - Fraction(space.p, space.q)) + 1e-9
+    reach = space.reach
     m = open_members.withColumn("rows", F.ceil(F.col("others") / BLOCK).cast("long")).withColumn("cols", F.ceil(F.col("size") / BLOCK).cast("long"))
-    one = m.filter("rest").select("region", "node", "label", "far", F.lit(0).alias("side"), F.expr("pmod(xxhash64(node), rows)").alias("i"), F.explode(F.expr("sequence(0L, cols - 1)")).alias("j"))
-    all_ = m.select("region", "node", "label", "far", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, rows - 1)")).alias("i"), F.expr("pmod(xxhash64(node, 1), cols)").alias("j"))
-    rows = one.unionByName(all_).join(sets, F.col("node") == F.col("key")).select("region", "i", "j", "side", "node", "label", "far", "shingles")
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "region", "i", "j").sortWithinPartitions("region", "i", "j", "side")
+    one = m.filter("rest").select("cell", "node", "label", "far", F.lit(0).alias("side"), F.expr("pmod(xxhash64(node), rows)").alias("i"), F.explode(F.expr("sequence(0L, cols - 1)")).alias("j"))
+    all_ = m.select("cell", "node", "label", "far", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, rows - 1)")).alias("i"), F.expr("pmod(xxhash64(node, 1), cols)").alias("j"))
+    rows = one.unionByName(all_).join(sets, F.col("node") == F.col("key")).select("cell", "i", "j", "side", "node", "label", "far", "shingles")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
 
     def block(rows):
         sides = [[r for r in rows if r[0] == s] for s in (0, 1)]
@@ -363,7 +370,7 @@ def _in_blocks(open_members: DataFrame, sets: DataFrame, space: Space) -> DataFr
         current, held = None, []
         for batch in batches:
             out = []
-            cols = [batch.column(c).to_pylist() for c in ("region", "i", "j", "side", "node", "label", "far")]
+            cols = [batch.column(c).to_pylist() for c in ("cell", "i", "j", "side", "node", "label", "far")]
             for *cell, side, node, label, far, x in zip(*cols, batch.column("shingles")):
                 if cell != current:
                     out += block(held) if held else []
@@ -378,36 +385,66 @@ def _in_blocks(open_members: DataFrame, sets: DataFrame, space: Space) -> DataFr
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def join_groups(df: DataFrame, id_col: str = "doc_id", column: str = "text", words: int = 3, threshold: Fraction = Fraction(9, 10), buckets: int = BUCKETS) -> DataFrame:
-    """Per row: id, ``n_shingles`` and ``component_id``, the smallest id that links reach.
-
-    Links hold between sets with Jaccard similarity at or above the threshold, exactly; equal
-    sets link. A row without words (null text included) is alone. A null id takes part in no
-    link and has a null component. Rows that repeat an id are rows of their own. Other columns of the input
-    play no part, whatever their names.
-    """
+def _labelled(df: DataFrame, id_col: str, column: str, words: int, threshold: Fraction | str, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's (id, n, key); the first id of each key; (key, label, smallest id) of keys that link with others."""
     space = Space(Fraction(threshold))
-    each = _sets_of(df, id_col, column, words)
-    with_id = each.filter("n > 0 AND id IS NOT NULL")
-    named = df.filter(F.col(id_col).isNotNull())
-    regions = _regions(named, column, words, space, buckets)
-    members = _members(regions)
-    pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = checkpointed(pairs)
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    classes = with_id.groupBy("key").agg(F.min("id").alias("id"))
-    wanted = nodes.join(classes, "key")
-    sets = _loaded(named, id_col, column, words, wanted)
+    rows = checkpointed(_candidates(deal(df, id_col, column), words, space))
+    each = rows.select("id", "n", "key")
+    classes = each.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"))
+    sets = checkpointed(rows.filter("shingles IS NOT NULL").select("key", "shingles").dropDuplicates(["key"]))
+    pairs = _cells(sets, space, buckets)
     distances = checkpointed(_to_pivots(pairs, sets))
     linked = distances.filter(F.expr(f"{space.q}L * common >= {space.p}L * (n_a + n_b - common)")).select("a", "b")
     labels = components(linked)
-    open_members = checkpointed(_unsettled(members.join(regions.filter("size > 2").select("region").distinct(), "region", "left_semi"), labels, distances))
+    open_members = checkpointed(_unsettled(distances, labels, space.reach))
     if not open_members.isEmpty():
         more = checkpointed(_in_blocks(open_members, sets, space))
         if not more.isEmpty():
             labels = components(linked.unionByName(more))
-    smallest = labels.join(classes, labels.node == classes.key).groupBy("label").agg(F.min("id").alias("smallest"))
-    of_key = labels.join(smallest, "label").select(F.col("node").alias("key"), "smallest")
-    out = each.join(classes.withColumnRenamed("id", "first"), "key", "left").join(of_key, "key", "left")
+    smallest = labels.join(classes, labels.node == classes.key).groupBy("label").agg(F.min("first").alias("smallest"))
+    return each, classes, labels.join(smallest, "label").select(F.col("node").alias("key"), "label", "smallest")
+
+
+def join_groups(df: DataFrame, id_col: str = "doc_id", column: str = "text", words: int = 3, threshold: Fraction | str = Fraction(9, 10), buckets: int = BUCKETS) -> DataFrame:
+    """Per row: id, ``n_shingles`` and ``component_id``, the smallest id that links reach.
+
+    Links hold between sets with Jaccard similarity at or above the threshold, exactly; equal
+    sets link. A row without words (null text included) is alone. A null id takes part in no
+    link and has a null component. Rows that repeat an id are rows of their own. Other columns of the input
+    play no part, whatever their names.
+    """
+    each, classes, of_key = _labelled(df, id_col, column, words, threshold, buckets)
+    known = classes.join(of_key, "key", "left").select("key", F.coalesce("smallest", "first").alias("component"))
+    out = each.join(known, "key", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.coalesce("smallest", "first")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", column: str = "text", words: int = 5, threshold: Fraction | str = Fraction(4, 5), buckets: int = BUCKETS) -> DataFrame:
+    """The row with the smallest id of each group, with the input's columns. Rows without words and rows with a null id stay.
+
+    Of rows that share that id, the set with the smaller name stays; of rows that share id
+    and set, the first by their columns as text.
+    """
+    columns = df.columns
+    each, _, of_key = _labelled(df, id_col, column, words, threshold, buckets)
+    each = each.filter("n > 0 AND id IS NOT NULL").select("id", "key")
+    grouped = each.join(of_key.select("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    best = grouped.groupBy("label").agg(F.min(F.struct("id", "key")).alias("best"))
+    losers = grouped.join(best, "label").filter((F.col("id") != F.col("best.id")) | (F.col("key") != F.col("best.key"))).select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+
+    def make():
+        def fn(texts):
+            return [set_keys(*shingle_sets(*vec.flat(texts), words))]
+
+        return fn
+
+    keyed = with_columns(df, column, "__key bigint", make)
+    same = lambda other: [F.col(f"`{id_col}`") == other["__id"], keyed["__key"] == other["__key"]]
+    kept = keyed.join(losers, same(losers), "left_anti")
+    repeated = checkpointed(each.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    if not repeated.isEmpty():
+        w = Window.partitionBy(f"`{id_col}`", "__key").orderBy(*(F.col(f"`{c}`").cast("string") for c in columns))
+        some = kept.join(repeated, same(repeated), "left_semi").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+        kept = kept.join(repeated, same(repeated), "left_anti").unionByName(some)
+    return kept.select(*(f"`{c}`" for c in columns))
