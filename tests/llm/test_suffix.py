@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from veridoc.llm import registry, suffix_dedup
+from veridoc.llm import chunks, registry, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,16 +43,17 @@ def test_ranks_are_suffix_order():
 
 def test_partitions_are_dealt_one_by_one(spark):
     for n in (3, 12, 51, 211):
-        values = suffix_dedup.dealt_evenly(n)
+        values = chunks.dealt_evenly(n)
         df = spark.createDataFrame([(v,) for v in values], "v int")
         assert sorted(r[0] for r in df.selectExpr(f"pmod(hash(v), {n})").collect()) == list(range(n))
-        thrice = suffix_dedup.dealt_evenly(n, 3)
-        assert len(set(thrice)) == 3 * n and [suffix_dedup._murmur(v) % n for v in thrice] == sorted(3 * list(range(n)))
+        thrice = chunks.dealt_evenly(n, 3)
+        assert len(set(thrice)) == 3 * n and [chunks._murmur(v) % n for v in thrice] == sorted(3 * list(range(n)))
 
 
 @pytest.mark.parametrize("seed,length,gram", [(1, 10, 4), (2, 10, 10), (3, 50, 16)])
 def test_equals_brute_force(spark, monkeypatch, seed, length, gram):
-    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 50)
     rng = random.Random(seed)
     passages = ["".join(rng.choice("abcé ") for _ in range(rng.randint(length - 3, 3 * length))) for _ in range(12)]
     texts = []
@@ -82,3 +83,13 @@ def test_edges(spark):
     assert got[2].n_removed == 300000 and got[2].n_spans == 1 and bytes(got[2].kept) == b"" and got[1].n_removed == 0
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(long, length=4, gram=5)
+
+
+def test_minimizers_are_dealt_evenly():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(3000)) for _ in range(20)]
+    c = suffix_dedup.Chunk(pa.table({"id": pa.array(range(20), pa.int64()), "text": texts}), 50, 16)
+    held = np.bincount(chunks.ranges(c.names, 8), minlength=8)
+    assert held.min() > 0.7 * held.mean() and held.max() < 1.3 * held.mean()

@@ -10,7 +10,7 @@ No task sees all suffixes. Equal strings have equal smallest hashes of the q-gra
 them, so a window's *minimizer* names where it has to go:
 
 1. Texts are dealt to chunks by a hash of the id. A chunk sends each distinct minimizer of
-   its windows, eight bytes, to the task of that hash.
+   its windows, four bytes, to the task of that hash.
 2. That task answers one bit per minimizer: whether another chunk has it.
 3. The chunk sorts the windows whose minimizers it holds in two documents, so that matches
    within the chunk are settled. Of the rest, windows whose minimizer another chunk has are
@@ -33,18 +33,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veridoc.llm import vec
-from veridoc.llm.common import partitions_for, planned_bytes
+from veridoc.llm.chunks import Ordered, deal, elsewhere, ranges, unpacked
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 2 << 20
-#: Up to so many chunks are dealt to partitions by a table.
-EVEN = 8192
+#: Windows whose suffixes are ordered at once, but for those of one minimizer.
+AT_ONCE = 300_000
 
-_HOLD = "bucket int, kind int, c int, docs binary, ids binary, starts binary, lengths binary, data binary"
+_HOLD = "bucket int, kind int, c int, names binary, docs binary, ids binary, starts binary, lengths binary, data binary"
 
 
 # -- suffixes ---------------------------------------------------------------------------------
@@ -94,21 +91,6 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class Ordered:
-    """The documents of a chunk in ascending (id, text) order, nulls last."""
-
-    def __init__(self, table: pa.Table):
-        texts = pc.fill_null(table.column("text").cast(pa.large_binary()), b"").combine_chunks()
-        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-        ids = table.column("id")
-        self.null = np.asarray(ids.is_null().to_numpy(), bool)
-        self.ids = np.asarray(pc.fill_null(ids, 0).to_numpy(), np.int64)
-        raw = texts.to_pylist()
-        order = sorted(range(len(raw)), key=lambda i: (bool(self.null[i]), self.ids[i], raw[i]))
-        self.ids, self.null = self.ids[order], self.null[order]
-        self.buf, self.off = vec.flat(pa.array([raw[i] for i in order], pa.large_binary()))
-
-
 class Chunk(Ordered):
     """The same with the minimizers of their windows."""
 
@@ -121,7 +103,8 @@ class Chunk(Ordered):
         if len(self.at):
             p, inv = vec.prefix_hash(self.buf), vec.powers(vec._INVERSE, len(self.buf) + 1)
             grams = vec.mix((p[gram:] - p[:-gram]) * inv[: len(p) - gram])
-            self.low = sliding_min(grams, length - gram + 1)[self.at]
+            # minima crowd at the low end, so they are scrambled again before they are dealt by range
+            self.low = vec.mix(sliding_min(grams, length - gram + 1)[self.at])
         else:
             self.low = np.zeros(0, np.uint64)
         # runs of windows of one document with one minimizer
@@ -140,10 +123,6 @@ class Chunk(Ordered):
         return np.repeat(of_name[self.inverse], np.diff(np.append(self.run, len(self.at))))
 
 
-def buckets_of(names: np.ndarray, n: int) -> np.ndarray:
-    return ((names >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def runs_of(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, first and last of the runs of consecutive window starts; input sorted."""
     new = np.ones(len(doc), bool)
@@ -164,34 +143,6 @@ def _stretches(buf: np.ndarray, start: np.ndarray, size: np.ndarray, length: int
     return vec.gather(buf, start, size), _window_starts(size - length + 1, length)
 
 
-# -- dealing ----------------------------------------------------------------------------------
-
-
-def _murmur(x: int) -> int:
-    """Spark's hash of an int column (Murmur3, seed 42)."""
-    m = 0xFFFFFFFF
-    rot = lambda v, r: ((v << r) | (v >> (32 - r))) & m
-    k = rot(x * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
-    h = (rot(42 ^ k, 13) * 5 + 0xE6546B64) & m ^ 4
-    h = (h ^ h >> 16) * 0x85EBCA6B & m
-    h = (h ^ h >> 13) * 0xC2B2AE35 & m
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
-
-
-def dealt_evenly(n: int, each: int = 1) -> list[int]:
-    """Integers of which ``repartition(n, ...)`` sends exactly ``each`` to each of n partitions, one partition after another."""
-    found: list[list[int]] = [[] for _ in range(n)]
-    x = missing = 0
-    while missing < n * each:
-        place = found[_murmur(x) % n]
-        if len(place) < each:
-            place.append(x)
-            missing += 1
-        x += 1
-    return [x for place in found for x in place]
-
-
 # -- the operator -----------------------------------------------------------------------------
 
 
@@ -202,66 +153,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
     """
     if not 0 < gram <= length:
         raise ValueError("the q-gram must not be longer than the string")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("string").alias("text"))
-    n = partitions_for(docs)
-    size = planned_bytes(docs)
-    per = 8 if size is None else max(1, -(-2 * size // (n * CHUNK_BYTES)))  # chunks in a partition; packed text is half its size
-    h = F.xxhash64(F.coalesce("id", F.xxhash64("text")))
-    if n * per <= EVEN:
-        slots = dealt_evenly(n)
-        c = F.element_at(F.array(*map(F.lit, dealt_evenly(n, per))), (F.pmod(h, F.lit(n * per)) + 1).cast("int"))
-    else:  # many chunks to a partition come out even by themselves
-        slots = list(range(n))
-        c = F.pmod(h, F.lit(n * max(per, 8))).cast("int")
-    dealt = docs.select("id", "text", c.alias("c")).repartition(n, "c")
-
-    def names_of(table: pa.Table) -> pa.Table:
-        held = Chunk(table, length, gram)
-        bucket = buckets_of(held.names, n)
-        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        stop = np.append(cut[1:], len(bucket))
-        k = len(cut)
-        return pa.table(
-            {"bucket": pa.array([slots[b] for b in bucket[cut].tolist()], pa.int32()), "b": pa.array(bucket[cut], pa.int32()), "c": table.column("c").slice(0, 1).take(pa.array([0] * k, pa.int64())), "names": pa.array([held.names[s:e].tobytes() for s, e in zip(cut, stop)], pa.binary())}
-        )
-
-    sent = dealt.groupBy("c").applyInArrow(names_of, "bucket int, b int, c int, names binary").repartition(n, "bucket")
-
-    def answer(batches):
-        rows, names = [], []
-        for b in batches:
-            for where, x in zip(zip(*(b.column(c).to_pylist() for c in ("b", "c"))), b.column("names")):
-                rows.append(where)
-                names.append(np.frombuffer(x.as_buffer(), np.uint64).copy())
-        if not rows:
-            return
-        sizes = np.array([len(x) for x in names])
-        every = np.concatenate(names)
-        del names
-        order = np.argsort(every, kind="stable")
-        s = every[order]
-        equal = s[1:] == s[:-1]
-        twice = np.zeros(len(s), bool)
-        twice[order] = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
-        ends = np.cumsum(sizes)
-        for k in range(0, len(rows), 2000):
-            part = [(*rows[i], np.packbits(bits).tobytes()) for i in range(k, min(k + 2000, len(rows))) if (bits := twice[ends[i] - sizes[i] : ends[i]]).any()]
-            if part:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 2 else pa.int32()) for i, c in enumerate(zip(*part))], names=["b", "c", "bits"])
-
-    answers = sent.mapInArrow(answer, "b int, c int, bits binary")
-    hold = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("c", pa.int32()), ("docs", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
+    dealt = deal(df, id_col, column)
+    n, slots, docs = dealt.n, dealt.slots, dealt.docs
+    answers = elsewhere(dealt, lambda table: Chunk(table, length, gram).names)
+    hold = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("c", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 
     def settle(key, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return hold.empty_table()
         mine = key[0].as_py()
         c = Chunk(table, length, gram)
-        bucket = buckets_of(c.names, n)
-        elsewhere = np.zeros(len(c.names), bool)
-        for b, bits in zip(replies.column("b").to_pylist(), replies.column("bits").to_pylist()):
-            s, e = np.searchsorted(bucket, [b, b + 1])
-            elsewhere[s:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s).astype(bool)
+        other = unpacked(c.names, replies, n)
         gone = np.zeros(len(c.at), bool)
         local = np.flatnonzero(c.by_window(c.several))
         if len(local):
@@ -272,27 +174,27 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         rows = []
         if gone.any():
             d, s, e = runs_of(c.doc[gone], c.at[gone] - c.off[c.doc[gone]])
-            rows.append((mine, 1, mine, d.astype(np.int32).tobytes(), None, s.tobytes(), e.tobytes(), None))
-        ship = np.flatnonzero(c.by_window(elsewhere) & ~gone)
+            rows.append((mine, 1, mine, None, d.astype(np.int32).tobytes(), None, s.tobytes(), e.tobytes(), None))
+        ship = np.flatnonzero(c.by_window(other) & ~gone)
         if len(ship):
             name, doc, at = c.low[ship], c.doc[ship], c.at[ship]
             new = np.ones(len(ship), bool)
             new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(ship)))
-            to = buckets_of(name[first], n)
+            to = ranges(name[first], n)
             order = np.argsort(to, kind="stable")
             first, count, to = first[order], count[order], to[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)]):
                 f, k = first[a:b], count[a:b]
                 data = vec.gather(c.buf, at[f], k + length - 1)
-                rows.append((slots[int(to[a])], 0, mine, doc[f].astype(np.int32).tobytes(), c.ids[doc[f]].tobytes(), (at[f] - c.off[doc[f]]).tobytes(), k.astype(np.int64).tobytes(), data.tobytes()))
+                rows.append((slots[int(to[a])], 0, mine, name[f].tobytes(), doc[f].astype(np.int32).tobytes(), c.ids[doc[f]].tobytes(), (at[f] - c.off[doc[f]]).tobytes(), k.astype(np.int64).tobytes(), data.tobytes()))
         if not rows:
             return hold.empty_table()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), hold.types)], schema=hold)
 
-    stretches = dealt.groupBy("c").cogroup(answers.groupBy("c")).applyInArrow(settle, _HOLD).repartition(n, "bucket")
+    stretches = docs.groupBy("c").cogroup(answers.groupBy("c")).applyInArrow(settle, _HOLD).repartition(n, "bucket")
     gone_kind = "c int, docs binary, starts binary, ends binary"
 
     def find(batches):
@@ -311,14 +213,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         chunk = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
         docs = np.concatenate(parts)
         places = [x for b in held for x in b.column("c").to_pylist()]
-        buf = np.concatenate(read("data", np.uint8))
+        data = np.concatenate(read("data", np.uint8))
+        names = np.concatenate(read("names", np.uint64))
         del held, parts
-        at = _window_starts(lengths, length)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        hit = np.flatnonzero(has_earlier(suffix_ranks(buf, at, length), ids[row]))
-        del buf, at
-        within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        row, start = row[hit], starts[row[hit]] + within[hit]
+        size = lengths + length - 1
+        begin = np.cumsum(size) - size
+        order = np.argsort(names, kind="stable")
+        # whole minimizers at a time, so that memory follows the largest of them
+        new = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]]))
+        before = (np.cumsum(lengths[order]) - lengths[order])[new] // AT_ONCE
+        cut = new[np.concatenate([[True], before[1:] != before[:-1]])]
+        hits = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+            part = order[a:b]
+            row = np.repeat(part, lengths[part])
+            hit = np.flatnonzero(has_earlier(suffix_ranks(vec.gather(data, begin[part], size[part]), _window_starts(lengths[part], length), length), ids[row]))
+            within = np.arange(len(row)) - np.repeat(np.cumsum(lengths[part]) - lengths[part], lengths[part])
+            hits.append((row[hit].astype(np.int32), (starts[row[hit]] + within[hit])))
+        del data
+        row, start = (np.concatenate(x) for x in zip(*hits))
         order = np.lexsort((start, docs[row], chunk[row]))
         c, d, s = chunk[row][order], docs[row][order].astype(np.int64), start[order]
         new = np.flatnonzero(np.diff(c, prepend=-1))
@@ -353,5 +266,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         cols = [pa.array(c.ids, pa.int64(), mask=c.null), np.diff(c.off), removed, spans, [hashlib.sha256(x).hexdigest() for x in left]] + [left] * with_text
         return pa.Table.from_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x for x, (_, t) in zip(cols, fields)], schema=pa.schema(fields))
 
-    out = dealt.groupBy("c").cogroup(gone_runs.groupBy("c")).applyInArrow(mark, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
+    out = docs.groupBy("c").cogroup(gone_runs.groupBy("c")).applyInArrow(mark, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumnRenamed("id", id_col)
