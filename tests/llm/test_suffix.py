@@ -93,3 +93,21 @@ def test_minimizers_are_dealt_evenly():
     c = suffix_dedup.Chunk(pa.table({"id": pa.array(range(20), pa.int64()), "text": texts}), 50, 16)
     held = np.bincount(chunks.ranges(c.names, 8), minlength=8)
     assert held.min() > 0.7 * held.mean() and held.max() < 1.3 * held.mean()
+
+
+def test_equal_stretches_share_answers(monkeypatch):
+    rng = random.Random(5)
+    for collide in (False, True):
+        if collide:  # hashes that never tell stretches apart
+            monkeypatch.setattr(suffix_dedup.vec, "span_hashes", lambda buf, s, e: np.zeros(len(s), np.uint64))
+        for _ in range(60):
+            base = ["".join(rng.choice("ab") for _ in range(rng.randint(6, 12))) for _ in range(5)]
+            parts = [rng.choice(base) for _ in range(25)]
+            ids = np.array([rng.randint(0, 8) for _ in parts])
+            buf = np.frombuffer("".join(parts).encode(), np.uint8)
+            got = suffix_dedup.earlier_in_stretches(buf, np.array([len(p) - 5 for p in parts]), ids, 6)
+            held = [(p[k : k + 6], i) for p, i in zip(parts, ids) for k in range(len(p) - 5)]
+            least = {}
+            for w, i in held:
+                least[w] = min(least.get(w, i), i)
+            assert got.tolist() == [least[w] < i for w, i in held]

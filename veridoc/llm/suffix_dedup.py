@@ -81,6 +81,36 @@ def has_earlier(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def earlier_in_stretches(buf: np.ndarray, count: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For stretches laid end to end, of ``count`` windows each: whether each window's string starts in a smaller document of them.
+
+    Of equal stretches only one with the smallest id is ranked. Those with a larger id are later
+    copies throughout, those with the same id share its answer.
+    """
+    size = count + length - 1
+    start = np.cumsum(size) - size
+    h = vec.span_hashes(buf, start, start + size)
+    order = np.lexsort((ids, h))
+    new = np.ones(len(order), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    # equal hashes are held against the bytes
+    fit = size == size[lead]
+    lead[~fit] = np.flatnonzero(~fit)
+    other = np.flatnonzero(lead != np.arange(len(lead)))
+    if len(other):
+        same = vec.gather(buf, start[other], size[other]) == vec.gather(buf, start[lead[other]], size[other])
+        wrong = other[~np.logical_and.reduceat(same, np.cumsum(size[other]) - size[other])]
+        lead[wrong] = wrong
+    leaders = np.flatnonzero(lead == np.arange(len(lead)))
+    flat = vec.gather(buf, start[leaders], size[leaders])
+    found = has_earlier(suffix_ranks(flat, _window_starts(count[leaders], length), length), np.repeat(ids[leaders], count[leaders]))
+    place = np.zeros(len(lead), np.int64)
+    place[leaders] = np.cumsum(count[leaders]) - count[leaders]
+    return vec.gather(found, place[lead], count) | np.repeat(ids > ids[lead], count)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """min(x[i:i+width]) for every i where that fits."""
     have, out = 1, x
@@ -227,7 +257,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
             part = order[a:b]
             row = np.repeat(part, lengths[part])
-            hit = np.flatnonzero(has_earlier(suffix_ranks(vec.gather(data, begin[part], size[part]), _window_starts(lengths[part], length), length), ids[row]))
+            hit = np.flatnonzero(earlier_in_stretches(vec.gather(data, begin[part], size[part]), lengths[part], ids[part], length))
             within = np.arange(len(row)) - np.repeat(np.cumsum(lengths[part]) - lengths[part], lengths[part])
             hits.append((row[hit].astype(np.int32), (starts[row[hit]] + within[hit])))
         del data
