@@ -134,7 +134,7 @@ def write_records(df: DataFrame, folder: str, id_col: str = "doc_id", column: st
     One range shuffle of the texts; the ids are made after it and go straight to their files.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("text"))
-    ordered = docs.repartitionByRange(partitions_for(docs), "id", "text").sortWithinPartitions("id", "text")
+    ordered = docs.repartitionByRange(partitions_for(docs), "id").sortWithinPartitions("id", "text")  # ranges from ids alone: a sample of texts would go to the driver
 
     def run(batches):
         where = path or vocabulary(VOCABULARY)
