@@ -44,8 +44,8 @@ from veridoc.llm.graph import components
 
 #: Growth of the size bands; rows of signatures packed at once; buckets for them.
 STEP, FLUSH, BUCKETS = 1.5, 1_000_000, 2048
-#: Members of one side in a block; members that meet a pivot in one stream.
-BLOCK, CELL = 256, 256
+#: Members of one side in a block; members that meet a pivot in one stream; parts that a pivot's members are dealt to.
+BLOCK, CELL, SALTS = 256, 256, 16
 
 
 class Space:
@@ -273,12 +273,37 @@ def _cells(sets: DataFrame, space: Space, buckets: int) -> DataFrame:
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (pivot[1:] != pivot[:-1])
         pivot, keys = pivot[new], keys[new]
-        for k in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pivot[k : k + 100_000]), pa.array(keys[k : k + 100_000])], names=["a", "b"])
+        # a row carries a pivot's members of one salt, so many regions of one group cost few rows
+        salt = (vec.mix(keys.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+        order = np.lexsort((salt, pivot))
+        pivot, salt, keys = pivot[order], salt[order], keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (pivot[1:] != pivot[:-1]) | (salt[1:] != salt[:-1])
+        first = np.flatnonzero(new)
+        stop = np.append(first[1:], len(keys))
+        for k in range(0, len(first), 20_000):
+            f, e = first[k : k + 20_000], stop[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[f]), pa.array(salt[f]), pa.array([keys[x:y].tobytes() for x, y in zip(f, e)], pa.binary())], names=["a", "salt", "members"])
+
+    def merge(batches):
+        got = [(b.column("a").to_numpy(), [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("members")]) for b in batches if b.num_rows]
+        if not got:
+            return
+        members = [x for _, parts in got for x in parts]
+        a = np.repeat(np.concatenate([x for x, _ in got]), [len(x) for x in members])
+        b = np.concatenate(members)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b = a[new], b[new]
+        for k in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], names=["a", "b"])
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.select("key", "shingles").mapInArrow(pack, "bucket int, names binary, keys binary").repartition(n, "bucket")
-    return checkpointed(dealt.mapInArrow(meet, "a bigint, b bigint").distinct())
+    found = dealt.mapInArrow(meet, "a bigint, salt int, members binary").repartition(n, "a", "salt")
+    return checkpointed(found.mapInArrow(merge, "a bigint, b bigint"))
 
 
 def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
