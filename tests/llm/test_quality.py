@@ -77,3 +77,19 @@ def test_edges(spark):
     assert quality.assess(df.drop("lang", "kept")).count() == 5
     assert quality.filter_quality(df).columns == df.columns and quality.filter_quality(df).count() == 0
     assert quality.assess(df.limit(0)).count() == 0
+
+
+FLUENT = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, and sell copies of the software, and to permit persons to whom the software is furnished to do so.",
+    "The keys of the map are compared by value, and the order of the items is the order in which they were added to the map. If a key is added again, the value of the item is replaced and the place of the item in the order stays the same. To move the item to the end, remove the key and add it again.",
+    "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, this license is intended to guarantee your freedom to share and change all versions of a program, to make sure it remains free software for all its users. You can apply it to your programs, too.",
+]
+
+
+def test_short_fluent_texts_stay(spark):
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(FLUENT)], "doc_id long, text string, lang string")
+    got = quality.assess(df).collect()
+    assert all(50 <= r.n_words <= 70 and r.token_entropy < 5.3 for r in got)
+    assert all(r.kept for r in got)
+    loops = spark.createDataFrame([(1, " ".join(f"{w} and {w} or" for w in "abcdefghijklmnop"), "en")], df.schema)
+    assert [(r.base_failed, r.kept) for r in quality.assess(loops).collect()] == [(False, False)]

@@ -2,7 +2,8 @@
 
 Public vocabularies measure each text: code points per byte-level BPE token, share of byte
 fallbacks among the pieces of a vocabulary that has them, and entropy of the text's tokens in
-bits. A text outside the bands of its language is rejected.
+bits. A text outside the bands of its language is rejected. The entropy of n tokens is at most
+log2(n) bits, so the bound on it is lower for short texts.
 
 Words are maximal runs of bytes other than 20 and 09-0D. Null is an empty text: no words, all
 counts 0, base failed. Equal texts have equal counts whatever the language column holds. One
@@ -23,11 +24,13 @@ from veridoc.llm.common import bpe_cache, vocabulary, with_columns
 
 VOCABULARY, FALLBACK_VOCABULARY = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
+#: No text needs more than this part of the entropy of as many different tokens: below 135 tokens that is less than 5.3 bits.
+MAX_ENTROPY_SHARE = 0.75
 
 
 @dataclass(frozen=True)
 class Band:
-    """A text is kept within these bounds, ends included."""
+    """A text is kept within these bounds, ends included; that of entropy is for texts of many tokens (see MAX_ENTROPY_SHARE)."""
 
     min_chars_per_token: float
     max_chars_per_token: float
@@ -148,8 +151,10 @@ def base_failed() -> Column:
 def in_band(language: Column, bands: dict[str, Band] = BANDS, other: Band = OTHER) -> Column:
     """The method's verdict; a language without bands, or null, has the other band."""
 
+    reachable = F.lit(MAX_ENTROPY_SHARE) * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))
+
     def within(b: Band) -> Column:
-        return F.col("chars_per_token").between(b.min_chars_per_token, b.max_chars_per_token) & (F.col("fallback_share") <= b.max_fallback_share) & (F.col("token_entropy") >= b.min_entropy)
+        return F.col("chars_per_token").between(b.min_chars_per_token, b.max_chars_per_token) & (F.col("fallback_share") <= b.max_fallback_share) & (F.col("token_entropy") >= F.least(F.lit(b.min_entropy), reachable))
 
     out = None
     for name, b in bands.items():
