@@ -62,6 +62,27 @@ def test_own_headers_and_page_forms():
     assert html_text.blocks(f"<body>{body}<form><p>{LONG}</p></form></body>") == want
 
 
+@pytest.mark.parametrize("n", [1, 12])
+def test_bodies_over_several_holders_stay_whole(n):
+    long, short = f"<p>{LONG * n * 3}</p><p>{LONG * n * 2}</p>", "<h2>Part</h2><p>Few words.</p><p>A bit more of them.</p>"
+    frame = "<body><div class=top><a href=/>Home</a></div><div id=content>%s</div><div class=legal-note><a href=/x>Imprint and terms</a></div></body>"
+    bodies = [
+        f"<div class=section>{long}</div><div class=section>{short}</div>",
+        f"<div class=section>{short}</div><div class=section>{long}</div><div class=section>{short}</div>",
+        f"<div class=section>{long}</div><div class=section>{long}{short}</div>",
+        f"<section>{short}</section><section><div class=in>{long}</div></section>",
+        f"{short}<blockquote>{long}</blockquote>{short}",
+        f"{short}<ul><li>One</li><li>{LONG * n * 5}</li><li>Three</li></ul>{short}",
+        f"{short}<table><tr><td>{LONG * n * 5}</td></tr><tr><td>b</td></tr></table>{short}",
+    ]
+    for body in bodies:
+        want = [" ".join(x.split()) for x in re.split(r"<[^>]+>", body)]
+        assert html_text.blocks(frame % body) == [x for x in want if x], body
+    for body in bodies:
+        want = [" ".join(x.split()) for x in re.split(r"<[^>]+>", body)]
+        assert html_text.blocks(f"<body>{body}</body>") == [x for x in want if x], body
+
+
 def test_chunks_give_the_same_events(monkeypatch):
     page = "<body><article><p>a &amp; b &eacute; <b>c</b></p><script>x</script><p>" + LONG * 3 + "</article>"
     want = html_text.main_text(page)

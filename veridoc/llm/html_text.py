@@ -6,8 +6,9 @@ element that holds it. Lines inside elements that say they are no content (menus
 adverts, forms, comments, hidden parts) count as lines without text. The ratio of characters
 to tags per line is smoothed by a Gaussian, and lines above a share of the standard deviation
 are seeds. The content region is the element that holds the seeds' text (an article or main
-element if the seeds are in one, else the container with the best score); its lines are
-the result, short ones between long ones included, unless they are mostly links.
+element if the seeds are in one, else the lowest element that holds all seeds, and what is
+around it where that is only a part: a list, a table, a quotation, one of like sections); its
+lines are the result, short ones between long ones included, unless they are mostly links.
 
 A null or empty page, and a page without visible text, gives an empty string. The whole page
 is read; nothing is shuffled. Equal pages give equal texts.
@@ -45,6 +46,8 @@ OWN_HEADER = frozenset("article content entry page post story title".split())
 #: Elements that are never skipped for their names.
 ROOTS = frozenset("html body main article".split())
 SCOPES = frozenset("html body main article section div td center blockquote ul ol dl table tbody tr li details figure".split())
+#: Elements that are part of a text, never the whole of it.
+PARTS = frozenset("blockquote ul ol li dl table tbody tr td details figure".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _BARRIER = frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote td th li fieldset".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -68,6 +71,7 @@ class Events(HTMLParser):
         #: name, whether it is skipped, number of the element
         self.stack: list[tuple[str, bool, int]] = []
         self.names: list[str] = []
+        self.classes: list[str] = []
         self.links = 0
         self.break_line()
 
@@ -118,6 +122,7 @@ class Events(HTMLParser):
             skipped = bool(self.stack) and self.stack[-1][1] or self._skips(tag, attrs)
             self.stack.append((tag, skipped, len(self.names)))
             self.names.append(tag)
+            self.classes.append(" ".join(sorted((dict(attrs).get("class") or "").split())))
             self.links += tag == "a"
         if tag in BLOCKS or tag in ("td", "th") and self.stack[-1][1]:
             self.break_line()
@@ -170,6 +175,24 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
+def holder(e: Events, seeds: list[tuple[int, ...]], open_: list[tuple[int, ...]]) -> int | None:
+    """The element that holds all seeds, or what it is part of; None is the whole page. Elements are given by the paths of lines."""
+    path = seeds[0]
+    for p in seeds:
+        k = 0
+        while k < min(len(path), len(p)) and path[k] == p[k]:
+            k += 1
+        path = path[:k]
+    while path and e.names[path[-1]] not in ("body", "html"):
+        el, depth = path[-1], len(path) - 1
+        beside = {p[depth] if len(p) > depth else None for p in open_ if p[:depth] == path[:depth]} - {el}
+        like = any(x is not None and e.names[x] == e.names[el] and e.classes[x] == e.classes[el] for x in beside)
+        if beside and not like and e.names[el] not in PARTS:
+            break
+        path = path[:-1]
+    return path[-1] if path else None
+
+
 def blocks(html: str) -> list[str]:
     """The blocks of the main text, in page order."""
     for skipped in (SKIPPED, SKIPPED - {"form"}):  # a form round the whole page is no form
@@ -190,18 +213,16 @@ def blocks(html: str) -> list[str]:
         seeds = [i for i in range(len(lines)) if open_[i] and not linked[i]]
     if not seeds:
         return []
-    score: dict[int, float] = {}
     named: dict[int, float] = {}
     for i in seeds:
         path, n = lines[i][0].path, len(lines[i][1])
-        for depth, el in enumerate(reversed(path)):
-            if depth < 3:  # the holder, and less for those around it
-                score[el] = score.get(el, 0) + n / (1, 2, 4)[depth]
         outer = next((el for el in path if e.names[el] == "article"), None) or next((el for el in path if e.names[el] == "main"), None)
         if outer is not None:
             named[outer] = named.get(outer, 0) + n
-    pool = named or score
-    region = max(pool, key=lambda el: (pool[el], -el)) if pool else None
+    if named:
+        region = max(named, key=lambda el: (named[el], -el))
+    else:
+        region = holder(e, [lines[i][0].path for i in seeds], [x.path for i, (x, _) in enumerate(lines) if open_[i] and not linked[i]])
     return [t for i, (x, t) in enumerate(lines) if open_[i] and not linked[i] and (region is None or region in x.path)]
 
 
