@@ -5,9 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from veridoc.llm import bpe, records, registry
+from veridoc.llm import bpe, records, registry, vec
 from veridoc.llm.common import bpe as library
 from veridoc.llm.common import vocabulary
 
@@ -83,6 +85,15 @@ def test_records_edges(spark):
     assert records.roundtrip(df.limit(0)).count() == 0
 
 
+def test_added_tokens_have_their_ids():
+    path, end = vocabulary(records.VOCABULARY), "<|endoftext|>"
+    unaltered = Tokenizer.from_file(path)
+    texts = [f"a{end}b", "plain text", end, f" {end}  x\n{end}{end} y ", "<|endo", "ftext|> z", "", f"<|<|endoftext|>{end[:-1]}"]
+    ids, off = records.token_ids(*vec.flat(pa.array(texts)), path)
+    got = [ids[s:e].tolist() for s, e in zip(off[:-1], off[1:])]
+    assert got == [unaltered.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [64, 50256, 65]
+
+
 def test_records_damage():
     data = b"".join(records.frame(records.serialize(i, np.array([1, 2, 70000 * (i or 0)]))) + b"\n" for i in (None, 0, 1))
     assert [(i, ids.tolist()) for i, ids in (records.deserialize(p) for _, p in records.records(data))] == [(None, [1, 2, 0]), (0, [1, 2, 0]), (1, [1, 2, 70000])]

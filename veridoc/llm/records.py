@@ -16,6 +16,8 @@ Files hold ascending ids, and file names ascend with them. The index has a row p
 from __future__ import annotations
 
 import itertools
+import json
+import re
 import struct
 import zlib
 from functools import cache
@@ -77,20 +79,32 @@ def records(data: bytes):
 
 @cache
 def tokenizer(path: str):
+    """The tokenizer of the file as it is: its added tokens' strings in a text have their ids."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+@cache
+def added_tokens(path: str) -> re.Pattern | None:
+    """Where one of the file's added tokens stands in bytes."""
+    found = [t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values()]
+    return re.compile(b"(?=(" + b"|".join(re.escape(x) for x in sorted(found, key=len)) + b"))") if found else None
+
+
+@cache
+def without_added(path: str):
+    """The same tokenizer without added tokens, for texts that hold none."""
+    return type(tokenizer(path)).from_str(json.dumps(json.loads(tokenizer(path).to_str()) | {"added_tokens": []}))
 
 
 @cache
 def piece_cache(path: str) -> vec.PieceCache:
     """Ids of pre-tokenizer matches. Matches are encoded together, a line feed between any two, which is a match of its own there."""
-    t = tokenizer(path)
+    t = without_added(path)
 
     def together(texts: list[str]) -> list[list[int]] | None:
         e = t.encode("\n".join(texts), add_special_tokens=False)
@@ -122,7 +136,17 @@ def token_ids(buf: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
     start, end, text_of = vec.pieces(buf, off)
     kept = piece_cache(path)
     slots = kept.slots(buf, start, end)
-    return kept.gather(slots), vec.offsets_by_text(text_of, kept.lengths(slots), len(off) - 1)
+    ids, at = kept.gather(slots), vec.offsets_by_text(text_of, kept.lengths(slots), len(off) - 1)
+    added, raw = added_tokens(path), buf.tobytes()
+    places = np.array([(m.start(), m.end(1)) for m in added.finditer(raw)] if added else [], np.int64).reshape(-1, 2)
+    holds = np.searchsorted(off, places[:, 0], "right") - 1
+    holds = np.unique(holds[places[:, 1] <= off[holds + 1]]).tolist()
+    if not holds:
+        return ids, at
+    parts = np.split(ids, at[1:-1])  # texts that hold an added token are encoded whole
+    for i in holds:
+        parts[i] = np.array(tokenizer(path).encode(raw[off[i] : off[i + 1]].decode("utf-8"), add_special_tokens=False).ids, ids.dtype)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 # -- writing and reading ----------------------------------------------------------------------
