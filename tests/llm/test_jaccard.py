@@ -99,6 +99,18 @@ def test_linked_sets_always_share_a_region():
     assert hits > 1500
 
 
+@pytest.mark.parametrize("p, q", [(3, 5), (1, 2), (1, 3), (1, 8), (2, 3)])
+def test_linked_sets_share_a_region_below_two_thirds(p, q):
+    rng = random.Random(10 * p + q)
+    space = jaccard.Space(Fraction(p, q))
+    for n in range(1, 41):
+        for m in range(n, n * q // p + 1):
+            b = [rng.getrandbits(64) for _ in range(m)]
+            w = np.concatenate([np.sort(np.array(x, np.uint64)) for x in (b[:n], b)])
+            names, of = jaccard.signatures(w, np.array([0, n, n + m]), space)
+            assert set(names[of == 0].tolist()) & set(names[of == 1].tolist()), (n, m)
+
+
 def test_edges(spark):
     rows = [(None, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "other"), (3, "A B C D E F G H I J"), (9, None), (2, "word " * 60000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")

@@ -9,8 +9,8 @@ farther from another's than the sets themselves, and uses regions and windows in
    lower bound of its distance to every other set. Sets for which it exceeds r link with
    nothing but copies and leave here; shingles are asked for among all sets, in packed form.
 1. *Sizes.* d(x, y) >= 1 - min/max of the sizes. Pivots are sizes in geometric steps, regions
-   are bands, and the triangle inequality's window replicates the sets just above a band's
-   upper end into that band.
+   are bands, and the triangle inequality's window replicates the sets above a band's upper
+   end that can link with one in it into that band.
 2. *Classes of shingles.* Sets of a band that link differ in at most D shingles. Shingles
    are dealt by hash into D + 1 + s classes, so at least 1 + s classes hold no difference: there
    both sets have the same restriction, at distance 0. Regions are the distinct restrictions
@@ -80,10 +80,14 @@ class Space:
         return smaller * (self.q - self.p) // self.p
 
     def bands(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(which sets, their band): each set's own band, and the one below if a smaller set there can link with it."""
+        """(which sets, their band): each set's own band, and every one below in which a smaller set can link with it."""
         own = np.searchsorted(self.edges, n, "right") - 1
-        below = (own > 0) & (self.p * n <= self.q * (self.edges[own] - 1))
-        return [(np.arange(len(n)), own), (np.flatnonzero(below), own[below] - 1)]
+        out, which, band = [], np.arange(len(n)), own
+        while len(which):
+            out.append((which, band))
+            below = (band > 0) & (self.p * n[which] <= self.q * (self.edges[band] - 1))
+            which, band = which[below], band[below] - 1
+        return out
 
     def classes(self, band: np.ndarray) -> np.ndarray:
         return self.differences(self.edges[band + 1] - 1) + 1 + self.spare[band]
