@@ -2,47 +2,66 @@
 
 Texts are cut into the matches of the public pattern. The distinct matches of a batch that
 the worker hasn't met become token-position rows, one per byte. A recursive query joins
-neighbouring tokens to the merge table, and contracts each word's leftmost pair of minimum
+neighbouring tokens to the merge table, and contracts each word's leftmost pairs of minimum
 rank until no pair is left; a match that is a token itself is that token, as in the tiktoken
 library. Ids are decoded by an ordered aggregation over the vocabulary table.
 
+All pairs of a word that have the minimum rank and don't overlap are contracted in one step,
+where that is the same as one by one: where no token of a smaller rank begins or ends with
+the merged one, so that none of the contractions makes a pair that would come first.
+
+A long word is encoded in overlapping blocks, so its steps are few. Blocks are joined at a
+token boundary of both where the two tokens beside it, encoded together, stay those two
+tokens. Then no contraction crosses it: the first that did would also be made in the two tokens
+alone. Blocks that don't join are encoded as one block, so the result is exact, and time
+grows in proportion to the word but for words that repeat themselves, whose steps are few.
+
 A null text is empty and has no tokens. Each task handles its rows alone: nothing is
-shuffled and equal texts have equal ids. Words cost time in the square of their length.
+shuffled and equal texts have equal ids. An empty table gives no rows; a column of the input
+named like a result is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from veridoc.llm import vec
-from veridoc.llm.common import ranks, vocabulary, with_columns
+from veridoc.llm.common import kept, ranks, token_lengths, vocabulary, with_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Bytes of distinct words in one recursive query; DuckDB's memory.
 QUERY_BYTES, DUCKDB_MEMORY = 400_000, "300MB"
+#: A longer word is cut into blocks of that many bytes, each of which overlaps the next.
+BLOCK, OVERLAP = 96, 32
 
 _PAIRS = 1 << 32  # a pair of tokens as one integer: left * _PAIRS + right
 
 _CONTRACT = f"""
-WITH RECURSIVE state(w, pos, id, nxt, live) AS (
-  SELECT w, pos, id, nxt, true FROM word_bytes
+WITH RECURSIVE state(w, pos, id, live) AS (
+  SELECT w, pos, id, true FROM word_bytes
   UNION ALL (
     WITH pairs AS (
-      SELECT s.w, s.pos, s.id, m.id AS merged
-      FROM (SELECT * FROM state WHERE live) s LEFT JOIN merges m ON m.pair = s.id * {_PAIRS}::BIGINT + s.nxt),
-    best AS (SELECT w, min(merged * {_PAIRS}::BIGINT + pos) AS b FROM pairs GROUP BY w),
-    chosen AS (SELECT w, b // {_PAIRS}::BIGINT AS id, coalesce(b % {_PAIRS}::BIGINT, -2) AS pos FROM best),
+      SELECT s.w, s.pos, s.id, m.id AS merged, m.safe
+      FROM (SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM state WHERE live) s
+      LEFT JOIN merges m ON m.pair = s.id * {_PAIRS}::BIGINT + s.nxt),
+    best AS (SELECT w, min(merged) AS merged FROM pairs GROUP BY w),
+    hits AS (
+      SELECT p.w, p.pos, p.merged, p.safe, p.pos - row_number() OVER (PARTITION BY p.w ORDER BY p.pos) AS run,
+             row_number() OVER (PARTITION BY p.w ORDER BY p.pos) AS nth
+      FROM pairs p JOIN best b ON p.w = b.w AND p.merged = b.merged),
+    chosen AS (
+      SELECT w, pos, merged FROM (SELECT *, pos - min(pos) OVER (PARTITION BY w, run) AS far FROM hits)
+      WHERE nth = 1 OR safe AND far % 2 = 0),
     contracted AS (
-      SELECT p.w, p.pos - CASE WHEN c.pos >= 0 AND p.pos > c.pos THEN 1 ELSE 0 END AS pos,
-             CASE WHEN p.pos = c.pos THEN c.id ELSE p.id END AS id, c.pos >= 0 AS live
-      FROM pairs p JOIN chosen c ON p.w = c.w WHERE p.pos <> c.pos + 1 OR c.pos < 0)
-    SELECT w, pos, id, lead(id, 1, -1) OVER (PARTITION BY w ORDER BY pos), live FROM contracted))
+      SELECT p.w, p.pos, coalesce(c.merged, p.id) AS id, b.merged IS NOT NULL AS live
+      FROM pairs p JOIN best b ON p.w = b.w LEFT JOIN chosen c ON p.w = c.w AND p.pos = c.pos
+      LEFT JOIN chosen d ON p.w = d.w AND p.pos = d.pos + 1 WHERE d.pos IS NULL)
+    SELECT w, row_number() OVER (PARTITION BY w ORDER BY pos), id, live FROM contracted))
 SELECT w::INTEGER AS w, id::BIGINT AS id FROM state WHERE NOT live ORDER BY w, pos
 """
 
@@ -60,12 +79,15 @@ class Coder:
 
         r = ranks(path)
         merges = [(left * _PAIRS + right, i) for token, i in r.items() for k in range(1, len(token)) if (left := r.get(token[:k])) is not None and (right := r.get(token[k:])) is not None]
+        unsafe = {j for token, i in r.items() for k in range(1, len(token)) for part in (token[:k], token[k:]) if (j := r.get(part, -1)) > i}
         self.con = duckdb.connect()
-        self.con.execute(f"SET threads = 1; SET memory_limit = '{DUCKDB_MEMORY}'; SET preserve_insertion_order = false")
-        self._table("merges", pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "id": pa.array([m[1] for m in merges], pa.int64())}))
+        self.con.execute(f"SET threads = 1; SET memory_limit = '{DUCKDB_MEMORY}'; SET temp_directory = ''; SET preserve_insertion_order = false")
+        self._table("merges", pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "id": pa.array([m[1] for m in merges], pa.int64()), "safe": [m[1] not in unsafe for m in merges]}))
         self._table("vocabulary", pa.table({"id": pa.array(list(r.values()), pa.int64()), "hex": [t.hex() for t in r]}))
         self.byte_ids = np.array([r[bytes([i])] for i in range(256)], np.int64)
         self.whole = r
+        self.tokens = {i: t for t, i in r.items()}
+        self.sizes = token_lengths(path)
         self.ids = vec.PieceCache(self.encode, np.uint32)
         self.bytes = vec.PieceCache(self.decode, np.uint8)
 
@@ -80,32 +102,81 @@ class Coder:
         self.con.unregister(name)
         return out
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words end to end, and how many each has."""
-        n = len(words)
-        whole = [self.whole.get(w, -1) for w in words]
-        of, ids = [], []
-        alone = np.array([i for i in range(n) if whole[i] >= 0], np.int64)
-        of.append(alone)
-        ids.append(np.array([whole[i] for i in alone.tolist()], np.int64))
-        todo = np.array([i for i in range(n) if whole[i] < 0 and words[i]], np.int64)
-        sizes = np.array([len(words[i]) for i in todo.tolist()], np.int64)
-        cut = np.cumsum(sizes) // QUERY_BYTES
-        for part in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(cut)) + 1):
-            if not len(part):
-                continue
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids that each word's bytes contract to."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        out: list[np.ndarray] = []
+        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(np.cumsum(sizes) // QUERY_BYTES)) + 1):
             size = sizes[part]
             w = np.repeat(np.arange(len(part)), size)
             pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            first = self.byte_ids[np.frombuffer(b"".join(words[i] for i in todo[part].tolist()), np.uint8)]
-            nxt = np.append(first[1:], -1)
-            nxt[np.cumsum(size) - 1] = -1
-            out = self._query(_CONTRACT, "word_bytes", pa.table({"w": w, "pos": pos, "id": first, "nxt": nxt}))
-            of.append(todo[part][out["w"].to_numpy()])
-            ids.append(out["id"].to_numpy())
-        of, ids = np.concatenate(of), np.concatenate(ids)
-        order = np.argsort(of, kind="stable")
-        return ids[order].astype(np.uint32), np.bincount(of, minlength=n).astype(np.int64)
+            first = self.byte_ids[np.frombuffer(b"".join(words[i] for i in part.tolist()), np.uint8)]
+            got = self._query(_CONTRACT, "word_bytes", pa.table({"w": w, "pos": pos, "id": first}))
+            n = np.bincount(got["w"].to_numpy(), minlength=len(part))
+            out += np.split(got["id"].to_numpy(), np.cumsum(n)[:-1]) if len(part) else []
+        return out
+
+    def _apart(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether two tokens encoded together stay those two."""
+        known = {p: None for p in pairs}
+        for p, ids in zip(known, self.contract([self.tokens[a] + self.tokens[b] for a, b in known])):
+            known[p] = ids.tolist() == list(p)
+        return [known[p] for p in pairs]
+
+    def long(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of long words from overlapping blocks."""
+        # blocks (word, begin, end); those that don't join become one
+        blocks = [(i, at, min(at + BLOCK, len(w))) for i, w in enumerate(words) for at in range(0, max(1, len(w) - OVERLAP), BLOCK - OVERLAP)]
+        ids: dict[tuple, np.ndarray] = {}
+        while True:
+            new = [x for x in blocks if x not in ids]
+            ids |= zip(new, self.contract([words[i][s:e] for i, s, e in new]))
+            bounds = {x: np.concatenate([[0], np.cumsum(self.sizes[ids[x]])]) + x[1] for x in blocks}
+            joints = []  # for blocks k and k + 1: places where both have a boundary, latest in the left block's inside first
+            for k, (x, y) in enumerate(zip(blocks, blocks[1:])):
+                if x[0] == y[0]:
+                    both = np.intersect1d(bounds[x][1:-1], bounds[y][1:-1], assume_unique=True)
+                    middle = (y[1] + x[2]) // 2
+                    both = both[np.argsort(np.abs(both - middle), kind="stable")]
+                    i, j = np.searchsorted(bounds[x], both), np.searchsorted(bounds[y], both)
+                    joints.append((k, both.tolist(), list(zip(ids[x][i - 1].tolist(), ids[y][j].tolist()))))
+            fits = iter(self._apart([p for _, _, pairs in joints for p in pairs]))
+            at: dict[int, int] = {}
+            for k, places, pairs in joints:
+                good = [place for place, fit in zip(places, [next(fits) for _ in pairs]) if fit]
+                if good:
+                    at[k] = good[0]
+            if len(at) == len(joints):
+                break
+            merged: list[tuple] = []
+            for k, x in enumerate(blocks):
+                if k and blocks[k - 1][0] == x[0] and k - 1 not in at:
+                    merged[-1] = (x[0], merged[-1][1], x[2])
+                else:
+                    merged.append(x)
+            blocks = merged
+            ids = {x: ids[x] for x in blocks if x in ids}
+        parts: list[list] = [[] for _ in words]
+        for k, x in enumerate(blocks):
+            begin = at[k - 1] if k and blocks[k - 1][0] == x[0] else x[1]
+            s, e = np.searchsorted(bounds[x], [begin, at.get(k, x[2])])
+            parts[x[0]].append(ids[x][s:e])
+        return [np.concatenate(p) for p in parts]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and how many each has."""
+        out: list = [None] * len(words)
+        todo: tuple[list[int], list[int]] = [], []
+        for i, w in enumerate(words):
+            whole = self.whole.get(w)
+            if whole is not None or not w:
+                out[i] = np.array([] if whole is None else [whole], np.int64)
+            else:
+                todo[len(w) > BLOCK].append(i)
+        for which, how in zip(todo, (self.contract, self.long)):
+            for i, ids in zip(which, how([words[i] for i in which]) if which else ()):
+                out[i] = ids
+        return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
     def decode(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of runs of ids (as little-endian unsigned 32-bit integers) end to end, and how many each has."""
@@ -138,7 +209,7 @@ class Coder:
         return back, at[np.searchsorted(np.concatenate([[0], e]), off)]
 
 
-@cache
+@kept
 def coder(path: str) -> Coder:
     return Coder(path)
 

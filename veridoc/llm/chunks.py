@@ -1,10 +1,11 @@
 """Texts dealt to chunks, and the question which of a chunk's hashes another chunk has too.
 
 A chunk sends its distinct hashes, sorted and packed, to the tasks that own their ranges, and
-gets one bit for each back. A row carries the hashes of one chunk for one task, so neither a
-hash nor a text costs a row, and a hash that all documents share is sent once a chunk. Four bytes
-of a hash are sent besides its range; two hashes that agree in them are taken for equal, so
-the answer may name a hash too many, never one too few.
+gets for each back whether another chunk has it and whether many have. A row carries the hashes
+of one chunk for one task, so neither a hash nor a text costs a row, and a hash that all
+documents share is sent once a chunk. Four bytes of a hash are sent besides its range; two
+hashes that agree in them are taken for equal, so the answer may name a hash too many, never
+one too few.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm import vec
-from veridoc.llm.common import partitions_for, planned_bytes
+from veridoc.llm.common import entered, partitions_for, planned_bytes, released
 
 #: Bytes of text in a chunk, about. Up to so many chunks are dealt to partitions by a table.
 CHUNK_BYTES, EVEN = 2 << 20, 8192
+#: Answers: another chunk has the hash; more than MANY chunks have it.
+TWICE, HOT, MANY = 1, 2, 64
 
 
 def _murmur(x: int) -> int:
@@ -95,10 +98,11 @@ def ranges(names: np.ndarray, n: int) -> np.ndarray:
 
 
 def elsewhere(dealt: Dealt, names: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """``(c, b, bits)``: for the sorted distinct hashes that ``names`` makes of a chunk, by range, whether another chunk has them. Ranges without any have no row."""
+    """``(c, b, twice, hot)``: for the sorted distinct hashes that ``names`` makes of a chunk, by range, bits that say which ones another chunk has and which ones many have. Ranges without any have no row."""
     n, slots = dealt.n, dealt.slots
 
     def send(table: pa.Table) -> pa.Table:
+        entered("chunks")
         found = names(table)
         b = ranges(found, n)
         cut = np.flatnonzero(np.diff(b, prepend=-1))
@@ -114,28 +118,47 @@ def elsewhere(dealt: Dealt, names: Callable[[pa.Table], np.ndarray]) -> DataFram
             parts += [np.frombuffer(x.as_buffer(), np.uint32).copy() for x in batch.column("names")]
         if not rows:
             return
-        sizes = np.array([len(x) for x in parts])
-        key = np.concatenate(parts).astype(np.uint64) | np.repeat(np.array([b for b, _ in rows], np.uint64), sizes) << np.uint64(32)
-        del parts
-        order = np.argsort(key, kind="stable")
-        equal = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[order] = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
-        ends = np.cumsum(sizes)
-        for k in range(0, len(rows), 2000):
-            part = [(*rows[i], np.packbits(bits).tobytes()) for i in range(k, min(k + 2000, len(rows))) if (bits := twice[ends[i] - sizes[i] : ends[i]]).any()]
-            if part:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 2 else pa.int32()) for i, x in enumerate(zip(*part))], names=["b", "c", "bits"])
+        full = lambda i: parts[i].astype(np.uint64) | np.uint64(rows[i][0] << 32)
+        every = np.concatenate([full(i) for i in range(len(rows))])
+        every.sort()
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(every)))
+        twice, often = every[first[times > 1]], every[first[times > MANY]]
+        del every, new, first, times
+
+        def among(some: np.ndarray, found: np.ndarray) -> np.ndarray:
+            if not len(some):
+                return np.zeros(len(found), bool)
+            at = np.searchsorted(some, found)
+            at[at == len(some)] = 0
+            return some[at] == found
+
+        out = []
+        for i, (b, c) in enumerate(rows):
+            found = full(i)
+            bits = among(twice, found)
+            if bits.any():
+                hot = among(often, found)
+                out.append((b, c, np.packbits(bits).tobytes(), np.packbits(hot).tobytes() if hot.any() else None))
+            if len(out) == 1000 or out and i == len(rows) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k > 1 else pa.int32()) for k, x in enumerate(zip(*out))], names=["b", "c", "twice", "hot"])
+                out = []
+        del parts, rows
+        released()
 
     sent = dealt.docs.groupBy("c").applyInArrow(send, "bucket int, b int, c int, names binary").repartition(n, "bucket")
-    return sent.mapInArrow(answer, "b int, c int, bits binary")
+    return sent.mapInArrow(answer, "b int, c int, twice binary, hot binary")
 
 
 def unpacked(names: np.ndarray, replies: pa.Table, n: int) -> np.ndarray:
-    """The bits of a chunk's sorted distinct hashes."""
-    out = np.zeros(len(names), bool)
+    """For a chunk's sorted distinct hashes: 0, or TWICE and HOT as they hold."""
+    out = np.zeros(len(names), np.uint8)
     b = ranges(names, n)
-    for x, bits in zip(replies.column("b").to_pylist(), replies.column("bits").to_pylist()):
+    for x, *answers in zip(*(replies.column(c).to_pylist() for c in ("b", "twice", "hot"))):
         s, e = np.searchsorted(b, [x, x + 1])
-        out[s:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s).astype(bool)
+        for flag, bits in zip((TWICE, HOT), answers):
+            if bits is not None:
+                out[s:e] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s) * np.uint8(flag)
     return out

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cache
@@ -22,6 +23,44 @@ def ddl(fields: str) -> T.StructType:
     return T._parse_datatype_string(fields)
 
 
+# -- what a worker process keeps ------------------------------------------------------------
+
+_kept: list = []
+_owner: list[str] = [""]
+
+
+def kept(make: Callable) -> Callable:
+    """A value by its arguments, made once and kept in the worker as long as it serves one operator."""
+    out = cache(make)
+    _kept.append(out)
+    return out
+
+
+def released() -> None:
+    """Give memory that is free back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def entered(owner: str) -> None:
+    """Called as an operator begins work in a process: what other operators have kept there goes, so that a worker never holds more than one operator's tables."""
+    if _owner[0] != owner:
+        _owner[0] = owner
+        for x in _kept:
+            x.cache_clear()
+        gc.collect()
+        released()
+
+
 def with_columns(df: DataFrame, column: str, fields: str, make: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
     """Append columns that are computed from one string column, batch by batch, without a shuffle.
 
@@ -36,22 +75,35 @@ def with_columns(df: DataFrame, column: str, fields: str, make: Callable[[], Cal
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        entered(fields)
         fn = make()
         for b in vec.slices(batches, column):
             new = fn(b.column(column))
             old = [b.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip([*old, *new], arrow)], schema=arrow)
+        released()
 
     return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors and the driver can read and write; below spark.checkpoint.dir if that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder where all executors and the driver can read and write: below spark.checkpoint.dir, or the folder given to ``SparkContext.setCheckpointDir``.
+
+    Raises ValueError where neither is set: no folder of one machine would do. The folder goes
+    when the application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.gettempdir()}/veridoc-checkpoint"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(path), spark._jsc.hadoopConfiguration()).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -82,13 +134,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@cache
+@kept
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@cache
+@kept
 def token_lengths(path: str) -> np.ndarray:
     """Bytes of each token by id."""
     r = ranks(path)
@@ -97,7 +149,7 @@ def token_lengths(path: str) -> np.ndarray:
     return out
 
 
-@cache
+@kept
 def bpe(path: str):
     """The public byte-level BPE for ranks in a file, without special tokens."""
     import public_tokenizers
@@ -106,7 +158,7 @@ def bpe(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
-@cache
+@kept
 def bpe_cache(path: str) -> vec.PieceCache:
     """Token ids of pieces; one per worker process."""
     core = bpe(path)._core_bpe

@@ -7,20 +7,20 @@ log2(n) bits, so the bound on it is lower for short texts.
 
 Words are maximal runs of bytes other than 20 and 09-0D. Null is an empty text: no words, all
 counts 0, base failed. Equal texts have equal counts whatever the language column holds. One
-pass without a shuffle; repeats are found by 64-bit hashes of lines and of three-word windows.
+pass without a shuffle. Lines and words that count as equal are equal, byte by byte. An empty table gives no rows; a
+column of the input named like a result is replaced, other columns stay.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm import vec
-from veridoc.llm.common import bpe_cache, vocabulary, with_columns
+from veridoc.llm.common import bpe_cache, kept, vocabulary, with_columns
 
 VOCABULARY, FALLBACK_VOCABULARY = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -46,7 +46,7 @@ OTHER = Band(0.4, 16.0, 0.9, 3.0)
 _FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, fallback_share double, token_entropy double"
 
 
-@cache
+@kept
 def _fallback_cache(path: str) -> vec.PieceCache:
     """Pieces of a word, and how many of them are byte fallbacks."""
     import sentencepiece
@@ -64,13 +64,18 @@ def _fallback_cache(path: str) -> vec.PieceCache:
     return vec.PieceCache(compute, np.int32)
 
 
-def _times(text_of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each hash is found in its text, and whether it is the first time."""
-    key = vec.mix(h + vec.mix(text_of.astype(np.uint64)))
-    _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    new = np.zeros(len(key), bool)
-    new[first] = True
-    return n[inverse], new
+def _times(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each tuple of keys is found, and whether it is the first time."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    group = np.cumsum(new) - 1
+    n, first = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+    n[order] = np.bincount(group)[group] if len(order) else 0
+    first[order[new]] = True  # lexsort is stable
+    return n, first
 
 
 def repeats(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -92,17 +97,16 @@ def repeats(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     holds = np.searchsorted(start, line_start) < np.searchsorted(start, line_end)
     line_start, line_end = line_start[holds], line_end[holds]
     line_text = np.searchsorted(off, line_start, "right") - 1
-    _, first = _times(line_text, vec.span_hashes(buf, line_start, line_end))
+    _, first = _times(vec.distinct(buf, line_start, line_end)[2], line_text)
     dup_lines = np.bincount(line_text[~first], minlength=n)
     repeated = np.zeros(len(start), bool)
     if len(start) >= WINDOW:
-        h = vec.span_hashes(buf, start, end)
+        word = vec.distinct(buf, start, end)[2].astype(np.uint64)
         m = len(start) - WINDOW + 1
-        w = np.zeros(m, np.uint64)
-        for k in range(WINDOW):
-            w = vec.mix(w * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m])
         inside = np.flatnonzero(text_of[:m] == text_of[WINDOW - 1 :])
-        often = inside[_times(text_of[inside], w[inside])[0] > 1]
+        pair = np.unique(word[inside] << np.uint64(32) | word[inside + 1], return_inverse=True)[1]
+        triple = np.unique(pair.astype(np.uint64) << np.uint64(32) | word[inside + 2], return_inverse=True)[1]
+        often = inside[_times(triple, text_of[inside])[0] > 1]
         for k in range(WINDOW):
             repeated[often + k] = True
     return n_words, chars, symbols, dup_lines, np.bincount(text_of[repeated], minlength=n)
@@ -112,12 +116,12 @@ def fertility(buf: np.ndarray, off: np.ndarray, path: str, fallback_path: str) -
     """Per text: tokens, code points per token, byte-fallback share, entropy in bits; 0 where there are no tokens."""
     n = len(off) - 1
     start, end, text_of = vec.pieces(buf, off)
-    kept = bpe_cache(path)
-    slots = kept.slots(buf, start, end)
-    sizes = kept.lengths(slots)
+    held = bpe_cache(path)
+    slots = held.slots(buf, start, end)
+    sizes = held.lengths(slots)
     tokens = np.bincount(text_of, weights=sizes, minlength=n)
     some = np.maximum(tokens, 1)
-    key = (np.repeat(text_of, sizes) << 32) + kept.gather(slots).astype(np.int64)
+    key = (np.repeat(text_of, sizes) << 32) + held.gather(slots).astype(np.int64)
     found, c = np.unique(key, return_counts=True)
     entropy = np.log2(some) - np.bincount(found >> 32, weights=c * np.log2(c), minlength=n) / some
     per_token = vec.counts_between(vec.is_lead(buf), off[:-1], off[1:]) / some

@@ -20,7 +20,6 @@ import json
 import re
 import struct
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm import vec
-from veridoc.llm.common import partitions_for, shared_folder, vocabulary
+from veridoc.llm.common import entered, kept, partitions_for, released, shared_folder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 NULL_ID, WIDE = 1, 2
@@ -77,7 +76,7 @@ def records(data: bytes):
 # -- the tokenizer ----------------------------------------------------------------------------
 
 
-@cache
+@kept
 def tokenizer(path: str):
     """The tokenizer of the file as it is: its added tokens' strings in a text have their ids."""
     import os
@@ -88,20 +87,20 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@cache
+@kept
 def added_tokens(path: str) -> re.Pattern | None:
     """Where one of the file's added tokens stands in bytes."""
     found = [t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values()]
     return re.compile(b"(?=(" + b"|".join(re.escape(x) for x in sorted(found, key=len)) + b"))") if found else None
 
 
-@cache
+@kept
 def without_added(path: str):
     """The same tokenizer without added tokens, for texts that hold none."""
     return type(tokenizer(path)).from_str(json.dumps(json.loads(tokenizer(path).to_str()) | {"added_tokens": []}))
 
 
-@cache
+@kept
 def piece_cache(path: str) -> vec.PieceCache:
     """Ids of pre-tokenizer matches. Matches are encoded together, a line feed between any two, which is a match of its own there."""
     t = without_added(path)
@@ -134,9 +133,9 @@ def piece_cache(path: str) -> vec.PieceCache:
 def token_ids(buf: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end and where each text's begin, as encoding each whole text gives."""
     start, end, text_of = vec.pieces(buf, off)
-    kept = piece_cache(path)
-    slots = kept.slots(buf, start, end)
-    ids, at = kept.gather(slots), vec.offsets_by_text(text_of, kept.lengths(slots), len(off) - 1)
+    held = piece_cache(path)
+    slots = held.slots(buf, start, end)
+    ids, at = held.gather(slots), vec.offsets_by_text(text_of, held.lengths(slots), len(off) - 1)
     added, raw = added_tokens(path), buf.tobytes()
     places = np.array([(m.start(), m.end(1)) for m in added.finditer(raw)] if added else [], np.int64).reshape(-1, 2)
     holds = np.searchsorted(off, places[:, 0], "right") - 1

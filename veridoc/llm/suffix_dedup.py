@@ -1,28 +1,31 @@
 """Exact substring dedup by longest-previous-factor arrays over suffixes, distributed.
 
 A byte goes if it is covered by a string of ``length`` bytes that also starts in a document
-with a smaller id. In suffix order, cut at that length, equal strings stand together; the
-nearest suffix before one whose document is smaller (its previous smaller value, the next
-smaller value being excluded by the order of equal suffixes) is an earlier match, and the
-longest previous factor there reaches the length.
+with a smaller id. Of suffixes in byte order (cut at that length), the nearest one before and
+the nearest one after whose document is smaller, the previous and next smaller values, have
+the longest common prefixes with a suffix that any smaller document gives: its longest
+previous factor. Where that reaches the length, the string is a later copy and goes.
 
 No task sees all suffixes. Equal strings have equal smallest hashes of the q-grams inside
 them, so a window's *minimizer* names where it has to go:
 
 1. Texts are dealt to chunks by a hash of the id. A chunk sends each distinct minimizer of
    its windows, four bytes, to the task of that hash.
-2. That task answers one bit per minimizer: whether another chunk has it.
-3. The chunk sorts the windows whose minimizers it holds in two documents, so that matches
+2. That task answers whether another chunk has it, and whether so many have it that it is *hot*.
+3. The chunk makes the array for the windows whose minimizers it holds in two documents, so that matches
    within the chunk are settled. Of the rest, windows whose minimizer another chunk has are
    sent as stretches of text. So a passage is sent once a chunk, however many documents hold it.
-4. The minimizer's task builds the cut suffix array of the stretches by prefix doubling, and returns
-   the runs of windows that have an earlier match.
+4. The minimizer's task makes the array of the stretches and returns the runs of windows that
+   have an earlier match. Stretches of a hot minimizer are dealt over several tasks first;
+   of each string only the smallest document that such a task has goes on to the minimizer's
+   task, so a line that all documents share is reduced in two steps.
 5. The chunk marks the bytes.
 
 The chunks' texts cross the network once: the three uses share one exchange. Matches never
 cross documents and are judged on the input. A null text is empty; a null id neither removes
 nor loses anything; rows that share an id don't remove from each other; texts shorter than
-the length stay whole.
+the length stay whole. An empty table gives no rows. Other columns of the input play no part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,52 +36,116 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veridoc.llm import vec
-from veridoc.llm.chunks import Ordered, deal, elsewhere, ranges, unpacked
+from veridoc.llm.chunks import HOT, Ordered, deal, elsewhere, ranges, unpacked
+from veridoc.llm.common import entered, released
 
 LENGTH, GRAM = 50, 16
 #: Windows whose suffixes are ordered at once, but for those of one minimizer.
 AT_ONCE = 300_000
+#: Tasks that the stretches of a hot minimizer are dealt to first.
+SALTS = 64
+#: Steps from suffix to suffix after which those that still look for a smaller value are settled by a stack.
+JUMPS = 48
 
 _HOLD = "bucket int, kind int, c int, names binary, docs binary, ids binary, starts binary, lengths binary, data binary"
+#: Kinds of rows: stretches for the last step, runs of windows that are gone, stretches for the first of two steps.
+LAST, GONE, FIRST = 0, 1, 2
 
 
 # -- suffixes ---------------------------------------------------------------------------------
 
 
-def suffix_ranks(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """The place of buf[i:i+length] in byte order among all such strings, for i in ``at``; equal strings share it.
-
-    Prefix doubling: ranks of 8 bytes, then 16 and so on, the last step overlapping.
-    """
+def _levels(buf: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """By prefix doubling, the place of buf[i:i+length] in byte order for every i, and the same for 8, 16, 32 ... bytes; equal strings share it."""
     n = len(buf)
-    wide = np.concatenate([buf, np.zeros(2 * length + 16, np.uint8)])
-    key = np.zeros(n + length, np.uint64)
-    have = min(8, length)
-    for k in range(have):
-        key = (key << np.uint64(8)) | wide[k : k + n + length]
+    wide = np.concatenate([buf, np.zeros(length + 16, np.uint8)])
+    key = vec.lanes(wide)[: n + length].byteswap()
+    have, levels = min(8, length), {}
+    key >>= np.uint64(8 * (8 - have))
     while have < length:
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint32)
+        levels[have] = rank
         step = min(have, length - have)
-        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-        key = rank << np.uint64(32)
+        key = rank.astype(np.uint64) << np.uint64(32)
         key[: len(rank) - step] |= rank[step:]
         have += step
-    return np.unique(key[at], return_inverse=True)[1]
-
-
-def has_earlier(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether an equal string starts in a smaller document: the previous smaller value in suffix order lies in the same rank."""
-    order = np.lexsort((doc, rank))
-    r, d = rank[order], doc[order]
-    same = np.zeros(len(r), bool)
-    same[1:] = r[1:] == r[:-1]
-    run = ~same.copy()  # first suffix of each document within a rank
-    run[1:] |= d[1:] != d[:-1]
-    first = np.maximum.accumulate(np.where(run, np.arange(len(r)), 0))
-    out = np.zeros(len(r), bool)
-    out[order] = same[first]  # the suffix before the run's first has a smaller document
-    return out
+    return key, levels
+
+
+def suffix_ranks(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The place of buf[i:i+length] in byte order among all such strings, for i in ``at``; equal strings share it."""
+    return np.unique(_levels(buf, length)[0][at], return_inverse=True)[1]
+
+
+def _common(buf: np.ndarray, levels: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the strings at a and b have in common at their begin, ``length`` at most."""
+    out = np.zeros(len(a), np.int64)
+    for size in sorted(levels, reverse=True):
+        out += size * (levels[size][a + out] == levels[size][b + out])
+    lane = vec.lanes(np.concatenate([buf, np.zeros(2 * length + 8, np.uint8)]))
+    x = lane[a + out] ^ lane[b + out]
+    low = x & (~x + np.uint64(1))  # the lowest bit that differs
+    tail = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+    return np.minimum(out + tail, length)
+
+
+def _smaller_before(value: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For every place, the minimum of ``least`` from the nearest smaller value before it (exclusive) up to it; 0 where there is none.
+
+    All places jump at once: what a place has passed, so has each that comes to it.
+    """
+    n = len(value)
+    at, low = np.arange(-1, n - 1), least.copy()
+    low[:1] = 0
+    todo = np.flatnonzero((at >= 0) & (value[np.maximum(at, 0)] >= value))
+    for _ in range(JUMPS):
+        if not len(todo):
+            break
+        over = at[todo]
+        low[todo], at[todo] = np.minimum(low[todo], low[over]), at[over]
+        none = at[todo] < 0
+        low[todo[none]] = 0
+        todo = todo[~none]
+        todo = todo[value[at[todo]] >= value[todo]]
+    if len(todo):  # long ascents: one pass with a stack
+        stack: list[tuple] = []
+        for i, (v, m) in enumerate(zip(value.tolist(), least.tolist())):
+            while stack and stack[-1][0] >= v:
+                m = min(m, stack.pop()[1])
+            low[i] = m if stack else 0
+            stack.append((v, m))
+    return low
+
+
+def longest_previous_factors(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For the string of ``length`` bytes at each place: how many of its first bytes also start, at one of these places, in a smaller document.
+
+    Equal strings are one entry of the suffix order, with their smallest document. The other
+    documents have their longest previous factor there; for the smallest one it is the larger of
+    the common prefixes with the previous and the next entry of a smaller document.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64)
+    key, levels = _levels(buf, length)
+    _, first, inverse = np.unique(key[at], return_index=True, return_inverse=True)
+    order = np.lexsort((doc, inverse))
+    new = np.ones(len(order), bool)
+    new[1:] = inverse[order][1:] != inverse[order][:-1]
+    smallest = doc[order][new]
+    place = at[first]
+    common = np.zeros(len(place) + 1, np.int64)  # of an entry and the one before
+    common[1:-1] = _common(buf, levels, place[:-1], place[1:], length)
+    before = _smaller_before(smallest, common[:-1])
+    after = _smaller_before(smallest[::-1], common[1:][::-1])[::-1]
+    return np.where(doc > smallest[inverse], length, np.maximum(before, after)[inverse])
+
+
+def has_earlier(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string at each place also starts in a smaller document: its longest previous factor reaches the length."""
+    return longest_previous_factors(buf, at, doc, length) >= length
 
 
 def earlier_in_stretches(buf: np.ndarray, count: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -105,7 +172,7 @@ def earlier_in_stretches(buf: np.ndarray, count: np.ndarray, ids: np.ndarray, le
         lead[wrong] = wrong
     leaders = np.flatnonzero(lead == np.arange(len(lead)))
     flat = vec.gather(buf, start[leaders], size[leaders])
-    found = has_earlier(suffix_ranks(flat, _window_starts(count[leaders], length), length), np.repeat(ids[leaders], count[leaders]))
+    found = has_earlier(flat, _window_starts(count[leaders], length), np.repeat(ids[leaders], count[leaders]), length)
     place = np.zeros(len(lead), np.int64)
     place[leaders] = np.cumsum(count[leaders]) - count[leaders]
     return vec.gather(found, place[lead], count) | np.repeat(ids > ids[lead], count)
@@ -121,6 +188,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def chunk_salt(c: int) -> int:
+    """Which of the first tasks of hot minimizers a chunk sends to."""
+    return int(vec.mix(np.array([c], np.uint64))[0]) % SALTS
+
+
 class Chunk(Ordered):
     """The same with the minimizers of their windows."""
 
@@ -131,8 +203,8 @@ class Chunk(Ordered):
         self.doc = np.repeat(np.arange(len(size)), n)
         self.at = vec.gather(np.arange(len(self.buf)), self.off[:-1], n)
         if len(self.at):
-            p, inv = vec.prefix_hash(self.buf), vec.powers(vec._INVERSE, len(self.buf) + 1)
-            grams = vec.mix((p[gram:] - p[:-gram]) * inv[: len(p) - gram])
+            every = np.arange(len(self.buf) - gram + 1)
+            grams = vec.span_hashes(self.buf, every, every + gram)
             # minima crowd at the low end, so they are scrambled again before they are dealt by range
             self.low = vec.mix(sliding_min(grams, length - gram + 1)[self.at])
         else:
@@ -176,103 +248,150 @@ def _stretches(buf: np.ndarray, start: np.ndarray, size: np.ndarray, length: int
 # -- the operator -----------------------------------------------------------------------------
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, and the remaining bytes if asked for.
+_FIELDS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("c", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 
-    An empty table gives no rows; other columns of the input play no part, whatever their names.
-    """
+
+def _gone(c: int, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple:
+    """A row for the chunk: runs of windows that go, by document and byte of its text."""
+    return c, GONE, c, None, doc.astype(np.int32).tobytes(), None, first.tobytes(), last.tobytes(), None
+
+
+class Stretches:
+    """Stretches of text laid end to end, as rows of ``_HOLD`` bring them: each has a minimizer, a chunk, a document in it, the document's id, a start there and a number of windows."""
+
+    def __init__(self, batches: list[pa.RecordBatch], length: int):
+        read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column(name)]
+        parts = read("docs", np.int32)
+        self.c = np.repeat([x for b in batches for x in b.column("c").to_pylist()], [len(x) for x in parts])
+        self.doc = np.concatenate(parts).astype(np.int64)
+        self.id, self.start, self.count = (np.concatenate(read(c, np.int64)) for c in ("ids", "starts", "lengths"))
+        self.name, self.data = np.concatenate(read("names", np.uint64)), np.concatenate(read("data", np.uint8))
+        self.length = length
+        self.size = self.count + length - 1
+        self.begin = np.cumsum(self.size) - self.size
+
+    @classmethod
+    def cut(cls, c: int, name: np.ndarray, doc: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray, buf: np.ndarray, at: np.ndarray, length: int) -> Stretches:
+        """Stretches of one chunk from the bytes of its texts."""
+        out = cls.__new__(cls)
+        out.c, out.name, out.doc, out.id, out.start, out.count, out.length = np.full(len(name), c), name, doc, ids, start, count, length
+        out.size, out.data, out.begin = count + length - 1, buf, at
+        return out
+
+    def earlier(self):
+        """(stretch, window in it, whether its string starts in a smaller document) of all windows, whole minimizers at a time, so that memory follows the largest of them."""
+        order = np.argsort(self.name, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], self.name[order][1:] != self.name[order][:-1]]))
+        before = (np.cumsum(self.count[order]) - self.count[order])[new] // AT_ONCE
+        cut = new[np.concatenate([[True], before[1:] != before[:-1]])]
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+            part = order[a:b]
+            n = self.count[part]
+            found = earlier_in_stretches(vec.gather(self.data, self.begin[part], self.size[part]), n, self.id[part], self.length)
+            yield np.repeat(part, n), np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n), found
+
+    def part(self, row: np.ndarray, within: np.ndarray) -> Stretches:
+        """The stretches of these windows alone; input sorted."""
+        r, first, last = runs_of(row, within)
+        out = Stretches.__new__(Stretches)
+        out.c, out.doc, out.id, out.name, out.data, out.length = self.c[r], self.doc[r], self.id[r], self.name[r], self.data, self.length
+        out.start, out.count = self.start[r] + first, last - first + 1
+        out.size = out.count + self.length - 1
+        out.begin = self.begin[r] + first
+        return out
+
+    def rows(self, kind: int, bucket: np.ndarray) -> list[tuple]:
+        """A row for each chunk and bucket."""
+        order = np.lexsort((bucket, self.c))
+        b, c = bucket[order], self.c[order]
+        cut = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])])) if len(order) else order
+        out = []
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+            f = order[s:e]
+            data = vec.gather(self.data, self.begin[f], self.size[f])
+            out.append((int(b[s]), kind, int(c[s]), self.name[f].tobytes(), self.doc[f].astype(np.int32).tobytes(), self.id[f].tobytes(), self.start[f].tobytes(), self.count[f].astype(np.int64).tobytes(), data.tobytes()))
+        return out
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, and the remaining bytes if asked for."""
     if not 0 < gram <= length:
         raise ValueError("the q-gram must not be longer than the string")
     dealt = deal(df, id_col, column)
-    n, slots, docs = dealt.n, dealt.slots, dealt.docs
+    n, slots, docs = dealt.n, np.array(dealt.slots), dealt.docs
     answers = elsewhere(dealt, lambda table: Chunk(table, length, gram).names)
-    hold = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("c", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
+
+    def table_of(rows: list[tuple]) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _FIELDS.types)], schema=_FIELDS) if rows else _FIELDS.empty_table()
 
     def settle(key, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return hold.empty_table()
+            return _FIELDS.empty_table()
         mine = key[0].as_py()
         c = Chunk(table, length, gram)
-        other = unpacked(c.names, replies, n)
+        other = c.by_window(unpacked(c.names, replies, n))
         gone = np.zeros(len(c.at), bool)
         local = np.flatnonzero(c.by_window(c.several))
         if len(local):
             # only stretches that hold such windows are ranked
             d, s, e = runs_of(c.doc[local], c.at[local])
             flat, at = _stretches(c.buf, s, e - s + length, length)
-            gone[local] = has_earlier(suffix_ranks(flat, at, length), c.ids[c.doc[local]])
-        rows = []
-        if gone.any():
-            d, s, e = runs_of(c.doc[gone], c.at[gone] - c.off[c.doc[gone]])
-            rows.append((mine, 1, mine, None, d.astype(np.int32).tobytes(), None, s.tobytes(), e.tobytes(), None))
-        ship = np.flatnonzero(c.by_window(other) & ~gone)
+            gone[local] = has_earlier(flat, at, c.ids[c.doc[local]], length)
+        rows = [_gone(mine, *runs_of(c.doc[gone], c.at[gone] - c.off[c.doc[gone]]))] if gone.any() else []
+        ship = np.flatnonzero((other > 0) & ~gone)
         if len(ship):
             name, doc, at = c.low[ship], c.doc[ship], c.at[ship]
             new = np.ones(len(ship), bool)
             new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(ship)))
+            hot = (other[ship[first]] & HOT) > 0
             to = ranges(name[first], n)
-            order = np.argsort(to, kind="stable")
-            first, count, to = first[order], count[order], to[order]
-            cut = np.flatnonzero(np.diff(to, prepend=-1))
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)]):
-                f, k = first[a:b], count[a:b]
-                data = vec.gather(c.buf, at[f], k + length - 1)
-                rows.append((slots[int(to[a])], 0, mine, name[f].tobytes(), doc[f].astype(np.int32).tobytes(), c.ids[doc[f]].tobytes(), (at[f] - c.off[doc[f]]).tobytes(), k.astype(np.int64).tobytes(), data.tobytes()))
-        if not rows:
-            return hold.empty_table()
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), hold.types)], schema=hold)
-
-    stretches = docs.groupBy("c").cogroup(answers.groupBy("c")).applyInArrow(settle, _HOLD).repartition(n, "bucket")
-    gone_kind = "c int, docs binary, starts binary, ends binary"
+            salted = (to + 1 + chunk_salt(mine) * max(1, n // SALTS)) % n
+            for kind, which, where in ((LAST, ~hot, to), (FIRST, hot, salted)):
+                f = first[which]
+                if len(f):
+                    s = Stretches.cut(mine, name[f], doc[f], c.ids[doc[f]], at[f] - c.off[doc[f]], count[which], c.buf, at[f], length)
+                    rows += s.rows(kind, slots[where[which]])
+        return table_of(rows)
 
     def find(batches):
-        held = []
+        entered("chunks")
+        held: dict[int, list] = {LAST: [], FIRST: []}
         for b in batches:
-            through = b.filter(pc.equal(b.column("kind"), 1))
-            if through.num_rows:
-                yield pa.RecordBatch.from_arrays([through.column(c) for c in ("c", "docs", "starts", "lengths")], names=["c", "docs", "starts", "ends"])
-            held.append(b.filter(pc.equal(b.column("kind"), 0)))
-        held = [b for b in held if b.num_rows]
-        if not held:
-            return
-        read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for b in held for x in b.column(name)]
-        ids, starts, lengths = (np.concatenate(read(c, np.int64)) for c in ("ids", "starts", "lengths"))
-        parts = read("docs", np.int32)
-        chunk = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        docs = np.concatenate(parts)
-        places = [x for b in held for x in b.column("c").to_pylist()]
-        data = np.concatenate(read("data", np.uint8))
-        names = np.concatenate(read("names", np.uint64))
-        del held, parts
-        size = lengths + length - 1
-        begin = np.cumsum(size) - size
-        order = np.argsort(names, kind="stable")
-        # whole minimizers at a time, so that memory follows the largest of them
-        new = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]]))
-        before = (np.cumsum(lengths[order]) - lengths[order])[new] // AT_ONCE
-        cut = new[np.concatenate([[True], before[1:] != before[:-1]])]
-        hits = []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
-            part = order[a:b]
-            row = np.repeat(part, lengths[part])
-            hit = np.flatnonzero(earlier_in_stretches(vec.gather(data, begin[part], size[part]), lengths[part], ids[part], length))
-            within = np.arange(len(row)) - np.repeat(np.cumsum(lengths[part]) - lengths[part], lengths[part])
-            hits.append((row[hit].astype(np.int32), (starts[row[hit]] + within[hit])))
-        del data
-        row, start = (np.concatenate(x) for x in zip(*hits))
-        order = np.lexsort((start, docs[row], chunk[row]))
-        c, d, s = chunk[row][order], docs[row][order].astype(np.int64), start[order]
-        new = np.flatnonzero(np.diff(c, prepend=-1))
+            for kind in (GONE, LAST, FIRST):
+                some = b.filter(pc.equal(b.column("kind"), kind))
+                if some.num_rows and kind == GONE:
+                    yield some
+                elif some.num_rows:
+                    held[kind].append(some)
         out = []
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(c)]):
-            x, y, z = runs_of(d[a:b], s[a:b])
-            out.append((places[c[a]], x.astype(np.int32).tobytes(), y.tobytes(), z.tobytes()))
+        for kind, parts in held.items():
+            if not parts:
+                continue
+            s = Stretches(parts, length)
+            parts.clear()
+            hits = []
+            for row, within, found in s.earlier():
+                hits.append((row[found].astype(np.int32), (s.start[row] + within)[found]))
+                if kind == FIRST and not found.all():
+                    rest = s.part(row[~found], within[~found])
+                    out += rest.rows(LAST, slots[ranges(rest.name, n)])
+            row, start = (np.concatenate(x) for x in zip(*hits))
+            order = np.lexsort((start, s.doc[row], s.c[row]))
+            c, d, x = s.c[row][order], s.doc[row][order], start[order]
+            del s
+            new = np.flatnonzero(np.diff(c, prepend=-1))
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(c)]):
+                out.append(_gone(int(c[a]), *runs_of(d[a:b], x[a:b])))
         for k in range(0, len(out), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if i else pa.int32()) for i, v in enumerate(zip(*out[k : k + 500]))], names=["c", "docs", "starts", "ends"])
+            yield from table_of(out[k : k + 500]).to_batches()
+        released()
 
-    gone_runs = stretches.mapInArrow(find, gone_kind)
+    stretches = docs.groupBy("c").cogroup(answers.groupBy("c")).applyInArrow(settle, _HOLD)
+    for _ in range(2):  # hot minimizers take both steps, the others are done after the first
+        stretches = stretches.repartition(n, "bucket").mapInArrow(find, _HOLD)
+    gone_runs = stretches.select("c", "docs", "starts", F.col("lengths").alias("ends"))
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
 
     def mark(key, table: pa.Table, runs: pa.Table) -> pa.Table:

@@ -26,10 +26,10 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def token_spans(buf: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Byte ends of the tokens of all texts, one after another, and where each text's tokens begin."""
     start, end, text_of = vec.pieces(buf, off)
-    kept = bpe_cache(path)
-    slots = kept.slots(buf, start, end) if len(start) else np.zeros(0, np.int64)
-    ids = kept.gather(slots)
-    return np.cumsum(token_lengths(path)[ids]), vec.offsets_by_text(text_of, kept.lengths(slots), len(off) - 1)
+    held = bpe_cache(path)
+    slots = held.slots(buf, start, end) if len(start) else np.zeros(0, np.int64)
+    ids = held.gather(slots)
+    return np.cumsum(token_lengths(path)[ids]), vec.offsets_by_text(text_of, held.lengths(slots), len(off) - 1)
 
 
 def allocate(ends: np.ndarray, section_starts: np.ndarray, n_bytes: int, rule: str) -> tuple[np.ndarray, np.ndarray]:

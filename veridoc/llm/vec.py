@@ -57,40 +57,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed and compared one by one, as bytes.
+LONG = 64
 
 
-@cache
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-_powers: dict[int, np.ndarray] = {}
-
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as a little-endian integer, zeros beyond the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
 
-def powers(base: int, n: int) -> np.ndarray:
-    """The first n powers modulo 2**64 (kept; grows by doubling)."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(1, np.uint64) if have is None else have
-        while len(have) < n:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        _powers[base] = have
-    return have[:n]
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand, other bytes may.
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """P with P[e] - P[s], times base**-s, a hash of buf[s:e]."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_byte_values()[buf] * powers(_BASE, len(buf)), out=out[1:])
+    Each eight bytes are scrambled into the hash in turn, so no algebraic pattern of the bytes
+    cancels out. Who needs to know that spans are equal compares them (:func:`distinct`).
+    """
+    size = end - start
+    h = mix(size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(salt))
+    lane = lanes(buf)
+    rest, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(rest):
+        x = lane[start[rest] + k] & _KEEP[np.minimum(size[rest] - k, 8)]
+        h[rest] = mix((h[rest] ^ x) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93))
+        k += 8
+        rest = rest[size[rest] > k]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        import xxhash
+
+        view = memoryview(np.ascontiguousarray(buf))
+        h[long] = [xxhash.xxh3_64_intdigest(view[s:e], salt) for s, e in zip(start[long].tolist(), end[long].tolist())]
+    return h
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at:at+size] equals b[bt:bt+size], span by span."""
+    out = np.ones(len(size), bool)
+    x, y = lanes(a), lanes(b)
+    rest, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(rest):
+        differ = ((x[at[rest] + k] ^ y[bt[rest] + k]) & _KEEP[np.minimum(size[rest] - k, 8)]) != 0
+        out[rest[differ]] = False
+        k += 8
+        rest = rest[~differ & (size[rest] > k)]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[bt[i] : bt[i] + size[i]])
     return out
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    p, inv = prefix_hash(buf), powers(_INVERSE, len(buf) + 1)
-    return mix((p[end] - p[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each distinct span, where it is first found, and the number of the distinct one for every span.
+
+    Bytes are compared: spans that only share a hash are hashed anew until they don't.
+    """
+    size, h, salt = end - start, span_hashes(buf, start, end), 0
+    while True:
+        found, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        lead = first[inverse]
+        other = np.flatnonzero(lead != np.arange(len(lead)))
+        fit = size[other] == size[lead[other]]
+        fit[fit] = same_bytes(buf, start[other[fit]], buf, start[lead[other[fit]]], size[other[fit]])
+        wrong = other[~fit]
+        if not len(wrong):
+            return found, first, inverse
+        salt += 1
+        h[wrong] = span_hashes(buf, start[wrong], end[wrong], salt)
 
 
 # -- words and lines ------------------------------------------------------------------------
@@ -154,14 +187,15 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 @cache
 def _classes() -> np.ndarray:
-    """The class of each code point, from the rules that the published pattern names."""
-    import regex
+    """The class of each code point as the tokenizer library's own expressions have it."""
+    import tiktoken
 
-    every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "\0" for i in range(0x110000))
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    one_byte = {bytes([i]): i for i in range(256)}
     out = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        e = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=one_byte, special_tokens={})
+        out[np.frombuffer(e.decode_bytes(e.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -221,31 +255,55 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+class _Grown:
+    """An array that grows at its end; its memory is at most twice its size."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(0, dtype), 0
+
+    def append(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.data):
+            data = np.zeros(max(need, 2 * self.n), self.data.dtype)
+            data[: self.n] = self.data[: self.n]
+            self.data = data
+        self.data[self.n : need] = more
+        self.n = need
+
+
 class PieceCache:
-    """Values of distinct pieces, kept in a worker between batches; forgets all beyond a bound, so it never changes results.
+    """Values of distinct pieces, kept in a worker between batches; forgets all beyond a bound of bytes, so it never changes results.
 
     ``compute`` gets a list of byte strings and returns their values end to end and the
-    number of values of each. Hashes are kept in a large and a small sorted array, some
-    thirty bytes a piece in all.
+    number of values of each. The pieces' bytes are kept too, and a piece is known only if its
+    bytes are equal. What one batch needs is held whatever its size; arrays grow by doubling, so memory stays
+    below twice the bound and what the batch brings.
     """
 
-    def __init__(self, compute, dtype, bound: int = 2_500_000):
+    def __init__(self, compute, dtype, bound: int = 48 << 20):
         self.compute, self.dtype, self.bound = compute, dtype, bound
         self.clear()
 
     def clear(self) -> None:
         none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.known = [none, none]
-        self.values = np.zeros(0, self.dtype)
-        self.offsets = np.zeros(1, np.int64)
+        self.grown, self.ends, self.raw, self.places = _Grown(self.dtype), _Grown(np.int64), _Grown(np.uint8), _Grown(np.int64)
+        self.ends.append(np.zeros(1, np.int64))
+        self.places.append(np.zeros(1, np.int64))
 
-    def slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The slot of each span; values of new ones are computed in one call."""
-        if not len(start):
-            return np.zeros(0, np.int64)
-        h, first, inverse = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        if len(self.offsets) + len(h) > self.bound:
-            self.clear()
+    def nbytes(self) -> int:
+        return sum(x.data.nbytes for x in (self.grown, self.ends, self.raw, self.places)) + sum(x.nbytes for pair in self.known for x in pair)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.grown.data[: self.grown.n]
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return self.ends.data[: self.ends.n]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slots with these hashes, -1 where there are none."""
         got = np.full(len(h), -1, np.int64)
         for keys, slots in self.known:
             if len(keys):
@@ -253,14 +311,48 @@ class PieceCache:
                 at[at == len(keys)] = 0
                 hit = keys[at] == h
                 got[hit] = slots[at[hit]]
+        return got
+
+    def slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The slot of each span; values of new ones are computed in one call."""
+        if not len(start):
+            return np.zeros(0, np.int64)
+        _, first, inverse = distinct(buf, start, end)
+        if self.nbytes() > self.bound:
+            self.clear()
+        at, stop = start[first], end[first]
+        h, got, ask, salt = span_hashes(buf, at, stop), np.full(len(at), -1, np.int64), np.arange(len(at)), 0
+        while len(ask):  # a slot of other bytes: the piece is under its next hash, if at all
+            slot = self._find(h[ask])
+            ask, slot = ask[slot >= 0], slot[slot >= 0]
+            if not len(ask):
+                break
+            size, place = stop[ask] - at[ask], self.places.data[slot]
+            fit = size == self.places.data[slot + 1] - place
+            fit[fit] = same_bytes(buf, at[ask[fit]], self.raw.data, place[fit], size[fit])
+            got[ask[fit]] = slot[fit]
+            ask, salt = ask[~fit], salt + 1
+            h[ask] = span_hashes(buf, at[ask], stop[ask], salt)
         new = np.flatnonzero(got < 0)
         if len(new):
+            keys, times = np.unique(h[new], return_counts=True)
+            if (times > 1).any():  # pieces of one hash that are new together: each but the first of them is looked for later under its next
+                taken = set()
+                for i in new.tolist():
+                    salt = 0
+                    while int(h[i]) in taken or self._find(h[i : i + 1])[0] >= 0:
+                        salt += 1
+                        h[i] = span_hashes(buf, at[i : i + 1], stop[i : i + 1], salt)[0]
+                    taken.add(int(h[i]))
             raw = buf.tobytes()
-            values, lengths = self.compute([raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-            got[new] = len(self.offsets) - 1 + np.arange(len(new))
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            self.values = np.concatenate([self.values, values]).astype(self.dtype, copy=False)
-            self.known[1] = _merged(self.known[1], (h[new], got[new].astype(np.int32)))
+            values, lengths = self.compute([raw[s:e] for s, e in zip(at[new].tolist(), stop[new].tolist())])
+            got[new] = self.ends.n - 1 + np.arange(len(new))
+            self.ends.append(self.ends.data[self.ends.n - 1] + np.cumsum(lengths))
+            self.grown.append(values.astype(self.dtype, copy=False))
+            self.raw.append(gather(buf, at[new], stop[new] - at[new]))
+            self.places.append(self.places.data[self.places.n - 1] + np.cumsum(stop[new] - at[new]))
+            order = np.argsort(h[new])
+            self.known[1] = _merged(self.known[1], (h[new][order], got[new][order].astype(np.int32)))
             if len(self.known[1][0]) > 200_000:
                 self.known = [_merged(*self.known), (h[:0], self.known[1][1][:0])]
         return got[inverse]
