@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from veridoc.llm import graph, jaccard, registry, vec
+from veridoc.llm import common, graph, jaccard, registry, vec
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -70,8 +70,9 @@ def corpus(seed, families, size):
 @pytest.mark.parametrize("tight", [False, True])
 def test_components_equal_brute_force(spark, monkeypatch, seed, tight):
     if tight:
-        for name, n in (("BLOCK", 2), ("CELL", 2), ("FLUSH", 500)):
+        for name, n in (("LEAF", 600), ("LEAF_MEMBERS", 4), ("TINY", 2), ("PIVOTS", 3), ("CELL", 2), ("FLUSH", 500)):
             monkeypatch.setattr(jaccard, name, n)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
     rows = corpus(seed, 40, 14)
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, key string, n int").repartition(5)
     got = {r.doc_id: r for r in jaccard.join_groups(df).collect()}
@@ -111,6 +112,86 @@ def test_linked_sets_share_a_region_below_two_thirds(p, q):
             assert set(names[of == 0].tolist()) & set(names[of == 1].tolist()), (n, m)
 
 
+def family(rng, members, size, edits):
+    base = [rng.getrandbits(64) for _ in range(size)]
+    out = []
+    for _ in range(members):
+        s = list(base)
+        for _ in range(rng.randint(0, edits)):
+            s[rng.randrange(size)] = rng.getrandbits(64)
+        out.append(np.unique(np.array(s, np.uint64)))
+    return out
+
+
+def groups_of(sets, links, space):
+    """Groups by links given, and by all pairs"""
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if space.links(*map(np.array, (len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))))]
+    out = []
+    for pairs in (links, every):
+        group = list(range(len(sets)))
+
+        def root(x):
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            group[b] = a
+        out.append([root(i) for i in range(len(sets))])
+    return out
+
+
+@pytest.mark.parametrize("threshold", [Fraction(9, 10), Fraction(4, 5)])
+def test_regions_in_a_task_equal_all_pairs(monkeypatch, threshold):
+    monkeypatch.setattr(jaccard, "TINY", 3)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    rng, space = random.Random(3), jaccard.Space(threshold)
+    several = 0
+    for _ in range(40):
+        sets = [s for _ in range(rng.randint(1, 4)) for s in family(rng, rng.randint(1, 25), rng.choice([30, 60, 120]), 12)]
+        m = jaccard._Members([(i, i, True, s) for i, s in enumerate(sets)], space)
+        got, want = groups_of(sets, m.join(), space)
+        assert got == want
+        several += len(set(want)) < len(want)
+    assert several > 20
+
+
+def test_regions_over_tasks_equal_all_pairs(spark, monkeypatch):
+    for name, n in (("LEAF", 1500), ("LEAF_MEMBERS", 6), ("PIVOTS", 3), ("CELL", 4)):
+        monkeypatch.setattr(jaccard, name, n)
+    rng, space = random.Random(7), jaccard.Space(Fraction(4, 5))
+    sets = [s for k in range(6) for s in family(rng, 20, 40 + 10 * k, 14)]
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "key long, shingles binary")
+    members = spark.createDataFrame([(r, i, i, True, len(s)) for r in (0, 1) for i, s in enumerate(sets) if r == 0 or i < 50], "region long, node long, label long, home boolean, w long")
+    calls = []
+    split = jaccard._split
+    monkeypatch.setattr(jaccard, "_split", lambda *a: calls.append(1) or split(*a))
+    links = {tuple(r) for df in jaccard._by_regions(members, table, space, 4) for r in df.collect()}
+    got, want = groups_of(sets, links, space)
+    assert got == want and len(set(want)) < len(want) and len(calls) > 1
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+def test_sets_of_one_name_stay_apart(spark, monkeypatch, bits):
+    real = jaccard._classes
+    rows = corpus(5, 12, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "_classes", lambda r: real(jaccard.checkpointed(r.withColumn("k1", r.k1.bitwiseAND((1 << bits) - 1)))))
+    got = {r.doc_id: r.component_id for r in jaccard.join_groups(df).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows)
+
+
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 5 + [3, 4, None, None])], "k long, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (9, "z")], "k long, w string")
+    for most in (20_000, 2):
+        monkeypatch.setattr(common, "HOT_KEYS", most)
+        got = collections.Counter((r.k, r.w) for r in common.skew_join(left, right, "k").collect())
+        assert got == {(1, "a"): 50, (2, "b"): 5, (3, "c"): 1, (4, None): 1, (None, None): 2}
+
+
 def test_edges(spark):
     rows = [(None, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "other"), (3, "A B C D E F G H I J"), (9, None), (2, "word " * 60000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")

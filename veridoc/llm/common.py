@@ -13,6 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -113,6 +114,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with more rows than this, and more than this part of all, is looked up in a broadcast; there are at most so many such keys.
+HOT_ROWS, HOT_KEYS = 256, 20_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join by one column, of which the right side has each value once and the left side may have any number of rows.
+
+    Values that hold more than one in HOT_KEYS of the left rows can't be more than HOT_KEYS;
+    their rows don't move, the others are joined by a shuffle.
+    """
+    counts = checkpointed(left.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > HOT_ROWS))
+    if counts.isEmpty():
+        return left.join(right, key, "left")
+    hot = F.broadcast(counts.filter(F.col("n_rows") > left.count() // HOT_KEYS).select(key))
+    some = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
+    return some.unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))
+
+
 def planned_bytes(df: DataFrame) -> int | None:
     """The planner's estimate of the input's size, None if it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
