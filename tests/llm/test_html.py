@@ -1,6 +1,7 @@
 import html as stdlib
 import random
 import re
+import time
 
 import pytest
 
@@ -83,6 +84,45 @@ def test_bodies_over_several_holders_stay_whole(n):
         assert html_text.blocks(f"<body>{body}</body>") == [x for x in want if x], body
 
 
+def test_all_of_an_article_stays():
+    two = f"<body><nav><a href=/>Home</a></nav><article><h1>A</h1><p>{LONG * 4}</p></article><article><h2>B</h2><p>{LONG}</p></article></body>"
+    assert html_text.blocks(two) == ["A", (LONG * 4).strip(), "B", LONG.strip()]
+    body = f"<article><p>{LONG * 2}</p><p><a href=/x>{LONG}</a></p><section id='social-history'><p>History.</p></section><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><p>{LONG}</p></article>"
+    assert html_text.blocks(f"<body>{body}</body>") == [(LONG * 2).strip(), LONG.strip(), "History.", "Let x=1.", LONG.strip()]
+    menu = "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul>"
+    assert html_text.blocks(f"<body><article><p>{LONG * 2}</p>{menu}</article></body>") == [(LONG * 2).strip()]
+
+
+@pytest.mark.parametrize("frame, noise", [("<div>{}</div>", "<div>{}</div>"), ("<div class=c1>{}</div>", "<div class=c2>{}</div>"), ("{}", "<div>{}</div>"), ("<table><tr><td>{}</td></tr></table>", "<table><tr><td>{}</td></tr></table>")])
+def test_ratios_decide_where_names_say_nothing(monkeypatch, frame, noise):
+    text = [f"{LONG * n}".strip() for n in (3, 5, 2, 4)]
+    body = "<h1>The title of it all</h1>" + "".join(f"<p>{t}</p>" for t in text) + "<p>Short end.</p>"
+    short = [noise.format(f"<b>{x}</b> <i>{y}</i> <u>{x}</u>") for x, y in (("Home", "About"), ("Login", "Help"), ("Terms", "Imprint"))]
+    page = f"<body>{short[0]}{short[1]}{frame.format(body)}{short[2]}</body>"
+    want = ["The title of it all", *text, "Short end."]
+    assert html_text.blocks(page) == want
+    monkeypatch.setattr(html_text, "smooth", lambda values: [1.0] * len(values))
+    assert html_text.blocks(page) != want
+
+
+def test_clusters_outside_an_article_count():
+    teaser = "<article><h3>More</h3><p>A short teaser.</p></article>"
+    body = "<div class=story><h1>Title</h1>" + "".join(f"<p>{LONG * n}</p>" for n in (3, 4, 5)) + "</div>"
+    assert html_text.blocks(f"<body><div class=x>{teaser}</div>{body}</body>") == ["Title", *((LONG * n).strip() for n in (3, 4, 5))]
+
+
+def test_names_that_hide_everything_are_passed_over():
+    page = f"<body><div class='widget'><p>{LONG * 2}</p><p>{LONG}</p></div></body>"
+    assert html_text.blocks(page) == [(LONG * 2).strip(), LONG.strip()]
+
+
+@pytest.mark.parametrize("page", ["<p " * 100_000, "<div>x" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<ul><li>" * 30_000 + "x", "<a href='" * 50_000, "<!--" * 50_000, "<table><tr><td>" * 20_000 + "y" + "</td>" * 20_000, "&lt;" * 100_000, "<" * 100_000])
+def test_deep_and_broken_pages_cost_linear_time(page):
+    begun = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begun < 10
+
+
 def test_chunks_give_the_same_events(monkeypatch):
     page = "<body><article><p>a &amp; b &eacute; <b>c</b></p><script>x</script><p>" + LONG * 3 + "</article>"
     want = html_text.main_text(page)
