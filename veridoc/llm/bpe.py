@@ -36,32 +36,50 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Bytes of distinct words in one recursive query; DuckDB's memory.
 QUERY_BYTES, DUCKDB_MEMORY = 400_000, "300MB"
-#: A longer word is cut into blocks of that many bytes, each of which overlaps the next.
-BLOCK, OVERLAP = 96, 32
+#: A longer word is cut into blocks of that many bytes, each of which overlaps the next; words that one contraction a step is for.
+BLOCK, OVERLAP, SHORT = 96, 32, 32
 
 _PAIRS = 1 << 32  # a pair of tokens as one integer: left * _PAIRS + right
 
-_CONTRACT = f"""
-WITH RECURSIVE state(w, pos, id, live) AS (
-  SELECT w, pos, id, true FROM word_bytes
+#: Short words: the leftmost pair of each word in a step.
+_ONE = f"""
+WITH RECURSIVE state(w, pos, id, nxt, live) AS (
+  SELECT w, pos, id, nxt, true FROM word_bytes
+  UNION ALL (
+    WITH pairs AS (
+      SELECT s.w, s.pos, s.id, m.id AS merged
+      FROM (SELECT * FROM state WHERE live) s LEFT JOIN merges m ON m.pair = s.id * {_PAIRS}::BIGINT + s.nxt),
+    best AS (SELECT w, min(merged * {_PAIRS}::BIGINT + pos) AS b FROM pairs GROUP BY w),
+    chosen AS (SELECT w, b // {_PAIRS}::BIGINT AS id, coalesce(b % {_PAIRS}::BIGINT, -2) AS pos FROM best),
+    contracted AS (
+      SELECT p.w, p.pos - CASE WHEN c.pos >= 0 AND p.pos > c.pos THEN 1 ELSE 0 END AS pos,
+             CASE WHEN p.pos = c.pos THEN c.id ELSE p.id END AS id, c.pos >= 0 AS live
+      FROM pairs p JOIN chosen c ON p.w = c.w WHERE p.pos <> c.pos + 1 OR c.pos < 0)
+    SELECT w, pos, id, lead(id, 1, -1) OVER (PARTITION BY w ORDER BY pos), live FROM contracted))
+SELECT w::INTEGER AS w, id::BIGINT AS id FROM state WHERE NOT live ORDER BY w, pos
+"""
+
+#: Others: all pairs of the minimum rank that don't overlap, where that is safe.
+_ALL = f"""
+WITH RECURSIVE state(w, pos, id, nxt, live) AS (
+  SELECT w, pos, id, nxt, true FROM word_bytes
   UNION ALL (
     WITH pairs AS (
       SELECT s.w, s.pos, s.id, m.id AS merged, m.safe
-      FROM (SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM state WHERE live) s
-      LEFT JOIN merges m ON m.pair = s.id * {_PAIRS}::BIGINT + s.nxt),
+      FROM (SELECT * FROM state WHERE live) s LEFT JOIN merges m ON m.pair = s.id * {_PAIRS}::BIGINT + s.nxt),
     best AS (SELECT w, min(merged) AS merged FROM pairs GROUP BY w),
     hits AS (
-      SELECT p.w, p.pos, p.merged, p.safe, p.pos - row_number() OVER (PARTITION BY p.w ORDER BY p.pos) AS run,
-             row_number() OVER (PARTITION BY p.w ORDER BY p.pos) AS nth
+      SELECT p.w, p.pos, p.merged, p.safe, row_number() OVER (PARTITION BY p.w ORDER BY p.pos) AS nth
       FROM pairs p JOIN best b ON p.w = b.w AND p.merged = b.merged),
     chosen AS (
-      SELECT w, pos, merged FROM (SELECT *, pos - min(pos) OVER (PARTITION BY w, run) AS far FROM hits)
+      SELECT w, pos, merged FROM (SELECT *, pos - min(pos) OVER (PARTITION BY w, pos - nth) AS far FROM hits)
       WHERE nth = 1 OR safe AND far % 2 = 0),
+    marks AS (SELECT w, pos, merged FROM chosen UNION ALL SELECT w, pos + 1, -1 FROM chosen),
     contracted AS (
       SELECT p.w, p.pos, coalesce(c.merged, p.id) AS id, b.merged IS NOT NULL AS live
-      FROM pairs p JOIN best b ON p.w = b.w LEFT JOIN chosen c ON p.w = c.w AND p.pos = c.pos
-      LEFT JOIN chosen d ON p.w = d.w AND p.pos = d.pos + 1 WHERE d.pos IS NULL)
-    SELECT w, row_number() OVER (PARTITION BY w ORDER BY pos), id, live FROM contracted))
+      FROM pairs p JOIN best b ON p.w = b.w LEFT JOIN marks c ON p.w = c.w AND p.pos = c.pos
+      WHERE c.merged IS NULL OR c.merged >= 0)
+    SELECT w, row_number() OVER win, id, lead(id, 1, -1) OVER win, live FROM contracted WINDOW win AS (PARTITION BY w ORDER BY pos)))
 SELECT w::INTEGER AS w, id::BIGINT AS id FROM state WHERE NOT live ORDER BY w, pos
 """
 
@@ -104,16 +122,22 @@ class Coder:
 
     def contract(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids that each word's bytes contract to."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        out: list[np.ndarray] = []
-        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(np.cumsum(sizes) // QUERY_BYTES)) + 1):
-            size = sizes[part]
-            w = np.repeat(np.arange(len(part)), size)
-            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            first = self.byte_ids[np.frombuffer(b"".join(words[i] for i in part.tolist()), np.uint8)]
-            got = self._query(_CONTRACT, "word_bytes", pa.table({"w": w, "pos": pos, "id": first}))
-            n = np.bincount(got["w"].to_numpy(), minlength=len(part))
-            out += np.split(got["id"].to_numpy(), np.cumsum(n)[:-1]) if len(part) else []
+        out: list = [None] * len(words)
+        for query, which in ((_ONE, [i for i, w in enumerate(words) if len(w) <= SHORT]), (_ALL, [i for i, w in enumerate(words) if len(w) > SHORT])):
+            sizes = np.array([len(words[i]) for i in which], np.int64)
+            for part in np.split(np.arange(len(which)), np.flatnonzero(np.diff(np.cumsum(sizes) // QUERY_BYTES)) + 1):
+                if not len(part):
+                    continue
+                size = sizes[part]
+                ends = np.cumsum(size)
+                w, pos = np.repeat(np.arange(len(part)), size), np.arange(ends[-1]) - np.repeat(ends - size, size)
+                first = self.byte_ids[np.frombuffer(b"".join(words[which[i]] for i in part.tolist()), np.uint8)]
+                nxt = np.append(first[1:], -1)
+                nxt[ends - 1] = -1
+                got = self._query(query, "word_bytes", pa.table({"w": w, "pos": pos, "id": first, "nxt": nxt}))
+                n = np.bincount(got["w"].to_numpy(), minlength=len(part))
+                for i, ids in zip(part.tolist(), np.split(got["id"].to_numpy(), np.cumsum(n)[:-1])):
+                    out[which[i]] = ids
         return out
 
     def _apart(self, pairs: list[tuple[int, int]]) -> list[bool]:

@@ -107,10 +107,17 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows without lineage, kept in the shared folder as Parquet; survives lost executors."""
+#: Rows of a small table in a file, and of one that a Python worker computes.
+ROWS_A_FILE, ROWS_A_TASK = 200_000, 5_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
+    """The same rows without lineage, kept in the shared folder as Parquet; survives lost executors.
+
+    ``rows`` is a bound of the number of rows, if one is known: a small table goes to few files.
+    """
     path = shared_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // each)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -135,10 +142,11 @@ def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     Values that hold more than one in HOT_KEYS of the left rows can't be more than HOT_KEYS;
     their rows don't move, the others are joined by a shuffle.
     """
-    counts = checkpointed(left.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > HOT_ROWS))
+    total = left.count()
+    counts = checkpointed(left.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter((F.col("n_rows") > HOT_ROWS) & (F.col("n_rows") > total // HOT_KEYS)).select(key), min(HOT_KEYS, total // HOT_ROWS))
     if counts.isEmpty():
         return left.join(right, key, "left")
-    hot = F.broadcast(counts.filter(F.col("n_rows") > left.count() // HOT_KEYS).select(key))
+    hot = F.broadcast(counts)
     some = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
     return some.unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))
 

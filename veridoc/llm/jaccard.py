@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from veridoc.llm import vec
 from veridoc.llm.chunks import Dealt, Ordered, deal, elsewhere, unpacked
-from veridoc.llm.common import checkpointed, entered, fresh, released, skew_join, with_columns
+from veridoc.llm.common import ROWS_A_TASK, checkpointed, entered, fresh, released, skew_join, with_columns
 from veridoc.llm.graph import components
 
 #: Growth of the size bands; rows of signatures packed, or met, at once.
@@ -243,9 +243,9 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The key is the first of the two names; where sets share it, it is made of both.
     """
-    rows = rows.withColumn("key", F.col("k1"))
+    rows, n = rows.withColumn("key", F.col("k1")), rows.count()
     while True:
-        classes = checkpointed(rows.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.min("k2").alias("low"), F.max("k2").alias("high")))
+        classes = checkpointed(rows.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.min("k2").alias("low"), F.max("k2").alias("high")), n)
         shared = classes.filter("low <> high").select("key", F.lit(True).alias("shared"))
         if shared.isEmpty():
             return rows, classes.select("key", "first")
@@ -389,15 +389,16 @@ def _to_pivots(pairs: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
     return rows.select("a", "b", "shingles").mapInArrow(run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint")
 
 
-def _unsettled(distances: DataFrame, labels: DataFrame, reach: float) -> DataFrame:
+def _unsettled(distances: DataFrame, labels: DataFrame, reach: float, n: int) -> DataFrame | None:
     """Members ``region, node, label, home, w`` (shingles) of cells that hold several groups so far, but those nearer to the pivot than any outside the largest group by more than ``reach``: they have no links with these."""
     far = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
     members = distances.select(F.col("a").alias("cell"), F.col("b").alias("node"), far.alias("far"), F.col("n_b").alias("w"))
     pivots = distances.select(F.col("a").alias("cell"), F.col("a").alias("node"), F.lit(0.0).alias("far"), F.col("n_a").alias("w")).distinct()
     labelled = members.unionByName(pivots).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = checkpointed(labelled, 2 * n)
     sizes = labelled.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("near"))
     main = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("size"))
-    rest = checkpointed(sizes.join(main.filter("groups > 1 AND size > 2"), "cell").filter("label <> main").groupBy("cell").agg(F.min("near").alias("near")))
+    rest = checkpointed(sizes.join(main.filter("groups > 1 AND size > 2"), "cell").filter("label <> main").groupBy("cell").agg(F.min("near").alias("near")), n)
     if rest.isEmpty():
         return None
     open_ = skew_join(labelled, rest, "cell").filter(F.col("far") >= F.col("near") - reach)
@@ -566,20 +567,21 @@ def _split(large: DataFrame, sets: DataFrame, space: Space, tasks: int) -> DataF
     return rows.mapInArrow(run, "region bigint, node bigint, label bigint, home boolean, w bigint, parent bigint")
 
 
-def _by_regions(members: DataFrame, sets: DataFrame, space: Space, tasks: int) -> list[DataFrame]:
+def _by_regions(members: DataFrame, sets: DataFrame, space: Space, tasks: int, n: int | None = None) -> list[DataFrame]:
     """Links that join different groups of unsettled cells, found by Voronoi regions within regions."""
     found = []
-    current = checkpointed(members.withColumn("parent", F.lit(1 << 62)))
+    current = checkpointed(members.withColumn("parent", F.lit(1 << 62)), n)
     while True:
+        n = current.count()
         sizes = current.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("home").alias("any"))
-        live = checkpointed(skew_join(current, sizes.filter("low <> high AND any").select("region", "n", "total"), "region").filter("n IS NOT NULL"))
+        live = checkpointed(skew_join(current, sizes.filter("low <> high AND any").select("region", "n", "total"), "region").filter("n IS NOT NULL"), n)
         small = (F.col("total") <= LEAF) & (F.col("n") <= LEAF_MEMBERS)
         whole = ~small & (F.col("total") > SPLIT * F.col("parent"))
-        found.append(checkpointed(_in_tasks(live.filter(small), sets, space, tasks)))
+        found.append(checkpointed(_in_tasks(live.filter(small), sets, space, tasks), n, ROWS_A_TASK))
         if live.filter(~small).isEmpty():
             return found
-        found.append(checkpointed(_in_blocks(live.filter(whole), sets, space, tasks)))
-        parts = checkpointed(_split(live.filter(~small & ~whole), sets, space, tasks))
+        found.append(checkpointed(_in_blocks(live.filter(whole), sets, space, tasks), n, ROWS_A_TASK))
+        parts = checkpointed(_split(live.filter(~small & ~whole), sets, space, tasks), n, ROWS_A_TASK)
         found.append(parts.filter("region IS NULL").select(F.col("node").alias("a"), F.col("label").alias("b")))
         current = parts.filter("region IS NOT NULL")
 
@@ -591,16 +593,18 @@ def _labelled(df: DataFrame, id_col: str, column: str, words: int, threshold: Fr
     tasks = dealt.n
     rows, classes = _classes(checkpointed(_candidates(dealt, words, space)))
     each = rows.select("id", "n", "key", "k1", "k2")
-    sets = checkpointed(rows.filter("shingles IS NOT NULL").select("key", "shingles").dropDuplicates(["key"]))
+    sets = rows.filter("shingles IS NOT NULL").select("key", "shingles")
+    sets = checkpointed(sets.dropDuplicates(["key"]), sets.count(), ROWS_A_TASK)
     pairs = _cells(sets, space, tasks)
-    distances = checkpointed(_to_pivots(pairs, sets, tasks))
+    distances = checkpointed(_to_pivots(pairs, sets, tasks), pairs.count(), ROWS_A_TASK)
     linked = distances.filter(F.expr(f"{space.q}L * common >= {space.p}L * (n_a + n_b - common)")).select("a", "b")
-    labels = components(linked)
-    members = _unsettled(distances, labels, space.reach)
+    n = distances.count()
+    labels = components(linked, n)
+    members = _unsettled(distances, labels, space.reach, n)
     if members is not None:
-        more = reduce(DataFrame.unionByName, _by_regions(members, sets, space, tasks))
+        more = reduce(DataFrame.unionByName, _by_regions(members, sets, space, tasks, 2 * n))
         if not more.isEmpty():
-            labels = components(linked.unionByName(more))
+            labels = components(linked.unionByName(more), n + more.count())
     smallest = labels.join(classes, labels.node == classes.key).groupBy("label").agg(F.min("first").alias("smallest"))
     return each, classes, labels.join(smallest, "label").select(F.col("node").alias("key"), "label", "smallest")
 
@@ -630,7 +634,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", column: str = "text", wor
     each, classes, of_key = _labelled(df, id_col, column, words, threshold)
     each = each.filter("n > 0 AND id IS NOT NULL").select("id", "key", "k1", "k2")
     grouped = skew_join(each, of_key.select("key", "label"), "key").withColumn("label", F.coalesce("label", "key"))
-    grouped = checkpointed(grouped)
+    grouped = checkpointed(grouped, each.count())
     best = grouped.groupBy("label").agg(F.min(F.struct("id", "k1", "k2")).alias("best"))
     mine, k1, k2, place = fresh(df, "id", "k1", "k2", "place")
     own = F.struct("id", "k1", "k2")
