@@ -73,18 +73,42 @@ def brute_records(docs, tok):
 
 def test_records_query(spark):
     got = registry.op9_token_records(spark, SF).collect()
-    want = brute_records(texts(spark).items(), records.tokenizer(vocabulary(records.VOCABULARY)))
+    want = brute_records(texts(spark).items(), Tokenizer.from_file(vocabulary(records.VOCABULARY)))
     assert sorted(tuple(r)[:4] for r in got) == sorted(want)
 
 
 def test_records_edges(spark):
     df = edge(spark)
     got = records.roundtrip(df).collect()
-    want = brute_records([(r.doc_id, r.text) for r in df.collect()], records.tokenizer(vocabulary(records.VOCABULARY)))
+    want = brute_records([(r.doc_id, r.text) for r in df.collect()], Tokenizer.from_file(vocabulary(records.VOCABULARY)))
     assert sorted((tuple(r)[:4] for r in got), key=str) == sorted(want, key=str)
     assert records.roundtrip(df.limit(0)).count() == 0
 
 
+def test_starts_follow_file_numbers(spark):
+    names = [(f"part-{k:05d}-x-c{c:03d}.txt", 10_000 * k + c) for k in (0, 1, 99998, 99999, 100000, 100001, 1000000) for c in (0, 1, 999, 1000)]
+    random.Random(1).shuffle(names)
+    rows = [(name, at, 1 + n % 7, n) for name, n in names for at in (0, 1 + n % 7)]
+    index = spark.createDataFrame(rows, "file string, start_in_file long, n_tokens long, n long")
+    got = [(r.n, r.start_in, r.start) for r in records.with_starts(index.selectExpr("*", "start_in_file AS start_in")).collect()]
+    want, at = [], 0
+    for n in sorted(n for _, n in names):
+        want += [(n, 0, at), (n, 1 + n % 7, at + 1 + n % 7)]
+        at += 2 * (1 + n % 7)
+    assert sorted(got) == want
+
+
+def test_records_of_one_id_over_files(spark, monkeypatch):
+    monkeypatch.setattr(records, "FILE_RECORDS", 7)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 5, 5, 6]), rng.choice(["", None, "a b", "c" * rng.randint(0, 9) + str(rng.random())]), "x", 1) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string, id int").repartition(6)
+    got = records.roundtrip(df).collect()
+    want = brute_records([r[:2] for r in rows], Tokenizer.from_file(vocabulary(records.VOCABULARY)))
+    assert sorted((tuple(r)[:4] for r in got), key=str) == sorted(want, key=str)
+    assert len({r.file for r in got}) > 300 // 7
+
+
 def test_added_tokens_have_their_ids():
     path, end = vocabulary(records.VOCABULARY), "<|endoftext|>"
     unaltered = Tokenizer.from_file(path)

@@ -31,6 +31,8 @@ from veridoc.llm.common import entered, kept, partitions_for, released, shared_f
 
 VOCABULARY = "byte_bpe_50k.json"
 NULL_ID, WIDE = 1, 2
+#: Characters of a text that ranges are made from; records in a file.
+RANGE_CHARS, FILE_RECORDS = 8, 50_000
 _HEAD, _CRC, _PAYLOAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 
 
@@ -155,19 +157,24 @@ def write_records(df: DataFrame, folder: str, id_col: str = "doc_id", column: st
     """Encode whole texts, append the end id, and write records in ascending id order, nulls first, equal ids by text.
 
     One range shuffle of the texts; the ids are made after it and go straight to their files.
+    Ranges are made from ids and the first characters of texts, of which Spark samples a
+    bounded number of rows in all: so rows of one id, or none, spread over files too. A
+    file holds a bounded number of records.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("text"))
-    ordered = docs.repartitionByRange(partitions_for(docs), "id").sortWithinPartitions("id", "text")  # ranges from ids alone: a sample of texts would go to the driver
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{column}`").cast("string").alias("text"))
+    ordered = docs.repartitionByRange(partitions_for(docs), F.col("id"), F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("id", "text")
 
     def run(batches):
+        entered("records")
         where = path or vocabulary(VOCABULARY)
         for b in vec.slices(batches):
             ids, off = token_ids(*vec.flat(b.column("text")), where)
             end = np.array([end_id], np.uint32)
             out = [frame(serialize(i, np.concatenate([ids[s:e], end]))) for i, s, e in zip(b.column("id").to_pylist(), off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+        released()
 
-    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(folder)
+    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
 def build_index(spark, folder: str, index: str) -> None:
@@ -189,9 +196,15 @@ def build_index(spark, folder: str, index: str) -> None:
     files.mapInArrow(run, fields).write.parquet(index)
 
 
+def _number(pattern: str):
+    """A number in a file's name, as a number: names of five and of six digits don't sort as text."""
+    return F.regexp_extract("file", pattern, 1).cast("long")
+
+
 def with_starts(index: DataFrame) -> DataFrame:
     """Each record's start in the sequence of all ids: the sum of the files before, a row per file, plus its start in the file."""
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.orderBy(_number(r"part-(\d+)"), _number(r"-c(\d+)[.]"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     return index.join(totals.select("file", "before"), "file").withColumn("start", F.col("before") + F.col("start_in_file")).drop("before", "start_in_file")
 
 
@@ -199,7 +212,7 @@ def roundtrip(df: DataFrame, id_col: str = "doc_id", column: str = "text", end_i
     """Write the records and their index to the shared folder, and return per record what was read back.
 
     Empty and null texts are records of the end id alone; repeated ids are records of their
-    own; an empty table gives no records.
+    own; an empty table gives no records. Other columns of the input play no part, whatever their names.
     """
     spark = df.sparkSession
     folder = shared_folder(spark, "records")
