@@ -192,6 +192,15 @@ def test_hot_keys_join_as_others(spark, monkeypatch):
         assert got == {(1, "a"): 50, (2, "b"): 5, (3, "c"): 1, (4, None): 1, (None, None): 2}
 
 
+def test_query_equals_sql(spark, duck):
+    d = "/root/testdata/sf0.01"
+    df = registry.op8_ngram_jaccard_join(spark, d)
+    rel = duck(d).execute(registry.oracle_sql()["op8_ngram_jaccard_join"])
+    assert sorted(c[0] for c in rel.description) == sorted(df.columns)
+    names = [c[0] for c in rel.description]
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(rel.fetchall())
+
+
 def test_edges(spark):
     rows = [(None, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "other"), (3, "A B C D E F G H I J"), (9, None), (2, "word " * 60000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")

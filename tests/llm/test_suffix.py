@@ -41,6 +41,61 @@ def test_ranks_are_suffix_order():
         assert suffix_dedup.suffix_ranks(buf, at, length).tolist() == [place[s] for s in strings]
 
 
+def brute_factors(strings, doc, length):
+    """The longest begin of each string that a string of a smaller document also begins with"""
+    out = []
+    for s, d in zip(strings, doc):
+        best = 0
+        for t, e in zip(strings, doc):
+            if e < d:
+                k = 0
+                while k < length and s[k] == t[k]:
+                    k += 1
+                best = max(best, k)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("jumps", [48, 0, 1])
+def test_longest_previous_factors_equal_brute_force(monkeypatch, jumps):
+    monkeypatch.setattr(suffix_dedup, "JUMPS", jumps)
+    rng = random.Random(jumps)
+    for length in (1, 3, 8, 9, 16, 17, 31, 50, 70):
+        for letters, n_docs in (("ab", 4), ("abcd", 30), ("a", 5)):
+            buf = np.frombuffer("".join(rng.choice(letters) for _ in range(length + 120)).encode(), np.uint8)
+            at = np.array(sorted(rng.sample(range(121), 90)))
+            doc = np.array([rng.randrange(n_docs) for _ in at])
+            got = suffix_dedup.longest_previous_factors(buf, at, doc, length)
+            assert got.tolist() == brute_factors([buf[i : i + length].tobytes() for i in at], doc.tolist(), length)
+
+
+def test_ascents_of_any_length():
+    n = 5000
+    value = np.concatenate([np.arange(n), np.zeros(3, np.int64), np.arange(n, 0, -1)])
+    least = np.arange(len(value)) % 17
+    low, stack = [], []
+    for v, m in zip(value.tolist(), least.tolist()):
+        while stack and stack[-1][0] >= v:
+            m = min(m, stack.pop()[1])
+        low.append(m if stack else 0)
+        stack.append((v, m))
+    assert suffix_dedup._smaller_before(value, least).tolist() == low
+
+
+@pytest.mark.parametrize("many,salts", [(1, 1), (1, 3), (2, 64)])
+def test_hot_minimizers_take_two_steps(spark, monkeypatch, many, salts):
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(chunks, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "SALTS", salts)
+    rng = random.Random(many + salts)
+    line = "".join(rng.choice("abcdefgh") for _ in range(90))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 60))) + rng.choice([line, line[:60], line[10:80], line + line]) for _ in range(80)]
+    rows = list(zip(rng.sample(range(1000), len(texts)), texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == collections.Counter(brute([(i, t.encode()) for i, t in rows], 50))
+
+
 def test_partitions_are_dealt_one_by_one(spark):
     for n in (3, 12, 51, 211):
         values = chunks.dealt_evenly(n)
@@ -75,6 +130,15 @@ def test_query(spark):
     assert sorted(got) == sorted(want) and sum(r[2] for r in want) > 1000
 
 
+def test_query_equals_sql(spark, duck):
+    d = "/root/testdata/sf0.01"
+    df = registry.op7_suffix_array_dedup(spark, d)
+    rel = duck(d).execute(registry.oracle_sql()["op7_suffix_array_dedup"])
+    assert sorted(c[0] for c in rel.description) == sorted(df.columns)
+    names = [c[0] for c in rel.description]
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(rel.fetchall())
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(empty).count() == 0

@@ -655,3 +655,19 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", column: str = "text", wor
         some = kept.join(repeated, same(repeated), "left_semi").withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place)
         kept = kept.join(repeated, same(repeated), "left_anti").unionByName(some)
     return kept.select(*(f"`{c}`" for c in columns))
+
+
+# -- the same in DuckDB -----------------------------------------------------------------------
+
+
+def sql(table: str = "documents", words: int = 3, percent: int = 90) -> str:
+    """DuckDB SQL for :func:`join_groups` over a table of ``doc_id`` (none repeated or null) and ``text``: all pairs that share a shingle, for small tables."""
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= {words} THEN list_transform(range(1, len(w) - {words} + 2), lambda i: w[i:i + {words} - 1]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS s FROM words)),
+sizes AS MATERIALIZED (SELECT doc_id, count(s) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS goal FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.goal)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sizes LEFT JOIN (SELECT node, min(goal) AS m FROM reach GROUP BY node) ON node = doc_id"""

@@ -56,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.sql()}
+    return {"op3_source_mixing": mixing.sql(), "op7_suffix_array_dedup": suffix_dedup.sql(), "op8_ngram_jaccard_join": jaccard.sql()}

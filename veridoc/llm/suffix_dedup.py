@@ -417,3 +417,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", column: str = "text",
 
     out = docs.groupBy("c").cogroup(gone_runs.groupBy("c")).applyInArrow(mark, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumnRenamed("id", id_col)
+
+
+# -- the same in DuckDB -----------------------------------------------------------------------
+
+
+def sql(table: str = "documents", length: int = LENGTH) -> str:
+    """DuckDB SQL for :func:`remove_repeats` over a table of ``doc_id`` (none repeated or null) and ``text``: every string of that length as a row, for small tables."""
+    return f"""
+WITH bytes AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM {table}),
+windows AS MATERIALIZED (SELECT doc_id, p, substring(h, 2 * p + 1, {2 * length}) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - {length - 1}))) AS p FROM bytes)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+gone AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+runs AS MATERIALIZED (SELECT doc_id, min(p) AS a, max(p) + {length} AS b FROM (SELECT doc_id, p, sum(CAST(p > coalesce(q, -{length} - 1) + {length} AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM gone)) GROUP BY doc_id, g),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, count(*) AS n, sum(b - a) AS removed FROM cuts JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+sha256(unhex(coalesce(head || substring(h, 2 * last + 1), h))) AS kept_sha256 FROM bytes LEFT JOIN kept USING (doc_id)"""
