@@ -6,7 +6,7 @@ import pytest
 from veridoc.functions import declared
 from veridoc.operators import evidence, evolve, links, sampling
 from veridoc.plans import core
-from veridoc.sources import notes, request
+from veridoc.sources import notes, register, request
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,7 +116,121 @@ def test_notes(spark, tmp_path):
 
 def test_catalog(spark):
     got = notes.catalog(spark, {"a": "type: o\nname: A # c\nlist:\n  - x\n  - y\n"}).first()
-    assert (got.type, got.fields) == ("o", {"name": "A", "list": "['x', 'y']"})
+    assert (got.type, got.fields) == ("o", {"name": "A", "list": '["x", "y"]'})
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ('name: "A # B" # c', {"name": "A # B"}),
+        ("x: ['a, b', c, \"d]e\"]", {"x": ["a, b", "c", "d]e"]}),
+        ("x: 'it''s'\ny: it's # so\nz: a#b", {"x": "it's", "y": "it's", "z": "a#b"}),
+        ('x: "a \\" b"', {"x": 'a " b'}),
+        ("a:\n  - \"[[x::y]]\"\n  - [p, [q]]\n  - true\nb: []\nc: {}\nd: ~", {"a": ["[[x::y]]", ["p", ["q"]], True], "b": [], "c": {}, "d": None}),
+        ("'k: 1': v:w", {"k: 1": "v:w"}),
+        ("x: [[a]] and [[b]]", {"x": "[[a]] and [[b]]"}),
+    ],
+)
+def test_yaml_quotes_lists_and_comments(text, want):
+    assert notes.parse_yaml(text) == want
+
+
+@pytest.mark.parametrize("text", ['x: "open', "x: [a, b", "x: 'a' b", "  - x\ny: 1", "just text"])
+def test_yaml_refuses(text):
+    with pytest.raises(ValueError):
+        notes.parse_yaml(text)
+
+
+def test_comments_go_to_metadata():
+    text = "#: Of a party.\nfields:\n  #: Its name,\n  #: in public.\n  name: String\n  # no doc\n  role?: String\n  #: Limits.\n  boundary?: String\n"
+    said = notes.doc_comments(text)
+    assert said == {"": "Of a party.", "name": "Its name, in public.", "boundary": "Limits."}
+    schema = declared.schema_of(notes.parse_yaml(text), comments=said)
+    assert [f.metadata.get("comment") for f in schema] == ["Its name, in public.", None, "Limits."]
+
+
+def test_profiles_allow_what_they_list(spark):
+    texts = {"p": 'type: t\ntools:\n  - "[[tool.read::core]]"\n  - "[[tool.find]]"\nnativeToolAllowlist: []\n', "q": "tools: ~\n", "r": "nativeToolAllowlist: [sh]\n"}
+    got = {r.profile: (r.tools, r.native_tools) for r in notes.profiles(spark, texts).collect()}
+    assert got == {"p": (["tool.read", "tool.find"], []), "q": ([], []), "r": ([], ["sh"])}
+    req = spark.createDataFrame([("p", "tool.read"), ("p", "tool.write"), ("q", "tool.read"), ("s", "tool.read")], "profile string, tool string")
+    assert [tuple(r) for r in links.allowed(req, "tool", notes.profiles(spark, texts), "profile").collect()] == [("p", "tool.read")]
+
+
+def test_outcomes_and_hints(spark):
+    declared.check_no_outcome(declared.schema_of({"fields": {"status": "String", "window": "String", "postedHistory": "String"}}))
+    for name in ("won", "isWin", "quote_lost", "Outcome"):
+        with pytest.raises(ValueError):
+            declared.check_no_outcome(declared.schema_of({"fields": {name: "String"}}))
+    both = declared.schema_of({"fields": {"hint": "String", "basis": "String"}})
+    declared.check_apart(both, "hint", "basis")
+    for hint, basis in (("hint", "hint"), ("hint", "other")):
+        with pytest.raises(ValueError):
+            declared.check_apart(both, hint, basis)
+
+
+def test_reconciled_only(spark):
+    df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, ok boolean")
+    assert [r.id for r in evidence.reconciled_only(df, df.ok).collect()] == [1]
+
+
+def test_registers(spark, tmp_path):
+    import gzip
+
+    schema = "part string, qty int, price double"
+    (tmp_path / "q.csv").write_text('part,qty,price\n"a, ""b""",1,2.5\nc,,3\n')
+    with gzip.open(tmp_path / "q.json.gz", "wt") as f:
+        f.write('[{"part": "a, \\"b\\"", "qty": 1, "price": 2.5}, {"part": "c", "qty": null, "price": 3.0}]')
+    with gzip.open(tmp_path / "q.jsonl.gz", "wt") as f:
+        f.write('{"part": "a, \\"b\\"", "qty": 1, "price": 2.5}\n{"part": "c", "price": 3.0}\n')
+    want = [('a, "b"', 1, 2.5), ("c", None, 3.0)]
+    for name in ("q.csv", "q.json.gz", "q.jsonl.gz"):
+        assert sorted(tuple(r) for r in register.read_register(spark, str(tmp_path / name), schema).collect()) == want
+    (tmp_path / "bad.csv").write_text("part,qty,price\na,x,1\n")
+    with pytest.raises(Exception):
+        register.read_register(spark, str(tmp_path / "bad.csv"), schema).collect()
+    with pytest.raises(ValueError):
+        register.read_register(spark, "q.parquet", schema)
+    register.check_output(["/a/b", "/c"], "/a/out")
+    for out in ("/a/b", "/a/b/c", "/a", "/c/."):
+        with pytest.raises(ValueError):
+            register.check_output(["/a/b", "/c"], out)
+
+
+def test_converted_notes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(30):
+        (tmp_path / "in" / f"n {k}.md").write_text(f"---\nid: {k}\n---\nbody {k}\n")
+    got = notes.convert_notes(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["id"], files=2)
+    assert sorted(int(r.id) for r in got.collect()) == list(range(30)) and len(list((tmp_path / "out").glob("part-*"))) <= 2
+
+
+def test_null_targets_and_nodes(spark):
+    edges = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y")], "src string, target string")
+    nodes = spark.createDataFrame([("x",), (None,)], "node string")
+    assert [r.src for r in links.dangling_links(edges, "target", nodes, "node").collect()] == ["c"]
+    loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", None), (None, "d")], "src string, target string")
+    start = spark.createDataFrame([("a",), (None,), ("a",)], "node string")
+    assert sorted((r.node, r.depth) for r in links.follow(loop, start, 4).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_entry_hides_no_import_error(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as e
+
+    assert set(core.QUERIES) <= set(e.queries())
+    for gone, want in (("veridoc.llm", None), ("veridoc.llm.registry", None), ("corpus_pipeline", None), ("xxhash", ModuleNotFoundError)):
+
+        def missing(name, gone=gone):
+            raise ModuleNotFoundError(name=gone)
+
+        monkeypatch.setattr(importlib, "import_module", missing)
+        if want:
+            with pytest.raises(want):
+                e._optional("veridoc.llm.registry")
+        else:
+            assert e._optional("veridoc.llm.registry") is None
 
 
 @pytest.mark.parametrize("text", ["{'a':1}", '{"a":1} x', '{"a":1,}', "NaN", "", "[Infinity]"])

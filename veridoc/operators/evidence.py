@@ -41,3 +41,8 @@ def with_provenance(df: DataFrame, verified: str, calculated: str) -> DataFrame:
         "provenance",
         F.when(F.col(verified).isNotNull(), "verified").when(F.col(calculated).isNotNull(), "calculated_only").otherwise("none"),
     )
+
+
+def reconciled_only(df: DataFrame, reconciled: Column) -> DataFrame:
+    """The rows that hold an independent reconciliation, which the caller states; false and null are held back, and count in :func:`coverage`."""
+    return df.filter(F.coalesce(reconciled, F.lit(False)))

@@ -16,24 +16,26 @@ def extract_links(df: DataFrame, src: str, field: str) -> DataFrame:
 
 
 def dangling_links(edges: DataFrame, target: str, nodes: DataFrame, node: str) -> DataFrame:
-    """Edges whose target is no node."""
-    return edges.join(nodes.select(F.col(node).alias("__node")).distinct(), F.col(target) == F.col("__node"), "left_anti")
+    """Edges whose target is no node. A null target names nothing, so it doesn't dangle; null nodes are none."""
+    return edges.filter(F.col(target).isNotNull()).join(nodes.select(F.col(node).alias("__node")).distinct(), F.col(target) == F.col("__node"), "left_anti")
 
 
 def follow(edges: DataFrame, start: DataFrame, depth: int, kinds: list[str] | None = None) -> DataFrame:
-    """Nodes within ``depth`` links of ``start`` (column ``node``), with the smallest number of links.
+    """Nodes within ``depth`` links of ``start`` (column ``node``), with the smallest number of links. Null nodes and targets lead nowhere.
 
-    One shuffle join and one distinct per level, so a cycle only repeats nodes; the depth bounds the plan.
+    A level joins the nodes that are new with the edges and leaves out those seen before, so each
+    node is expanded once; the depth bounds the plan.
     """
     if kinds is not None:
         edges = edges.filter(F.col("kind").isin(kinds))
-    steps = edges.select("src", "target").distinct()
-    frontier = start.select("node").distinct()
+    steps = edges.select("src", "target").filter("target IS NOT NULL")
+    frontier = start.select("node").filter("node IS NOT NULL").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
-        frontier = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("target").alias("node")).distinct()
+        reached = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("target").alias("node")).distinct()
+        frontier = reached.join(seen.select("node"), "node", "left_anti")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(level)))
-    return seen.groupBy("node").agg(F.min("depth").alias("depth"))
+    return seen
 
 
 def allowed(requests: DataFrame, name: str, profiles: DataFrame, profile: str) -> DataFrame:

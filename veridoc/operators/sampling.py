@@ -26,12 +26,12 @@ def check_sample_arguments(df: DataFrame, id_col: str, count: int, seed: str) ->
     number of rows, for an empty seed, and for null ids (a null key would sort first).
     """
     if isinstance(count, bool) or not isinstance(count, int) or not 0 <= count <= MAX_SAFE_COUNT or not seed:
-        raise ValueError("invalid sample count or seed")
+        raise ValueError(f"a sample needs a seed and a count from 0 to {MAX_SAFE_COUNT}, not {count!r} and {seed!r}")
     rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(id_col).isNull())).first()
     if nulls:
         raise ValueError(f"{nulls} rows have no {id_col}")
     if count > rows:
-        raise ValueError("invalid sample count or seed")
+        raise ValueError(f"a sample of {count} from {rows} rows")
 
 
 def seeded_sample(df: DataFrame, id_col: str, count: int, seed: str, rank_col: str | None = None) -> DataFrame:

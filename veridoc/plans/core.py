@@ -85,14 +85,13 @@ def link_extraction(spark: SparkSession, d: str) -> DataFrame:
 def follow_depth_1(spark: SparkSession, d: str) -> DataFrame:
     edges = region_links(spark, d).select("src", "target", F.lit("navigational").alias("kind"))
     back = edges.select(F.col("target").alias("src"), F.col("src").alias("target"), F.lit("structural").alias("kind"))
-    start = table(spark, d, "nation").filter("n_nationkey < 3").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    start = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
     return links.follow(edges.unionByName(back), start, 1, ["navigational"])
 
 
 def dangling_links(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("target"))
-    nodes = table(spark, d, "supplier").filter("s_acctbal > 5000").select("s_nationkey")
-    return links.dangling_links(edges, "target", nodes, "s_nationkey")
+    edges = table(spark, d, "documents").select("source", F.col("doc_id").alias("target"))
+    return links.dangling_links(edges, "target", table(spark, d, "labels").select("doc_id"), "doc_id")
 
 
 def no_silent_substitution(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +99,11 @@ def no_silent_substitution(spark: SparkSession, d: str) -> DataFrame:
     return evidence.with_provenance(verified, "verified", "calculated")
 
 
+def reconciled_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", F.length("text").alias("counted"))
+    return evidence.reconciled_only(docs, F.col("n_chars") == F.col("counted")).select("doc_id", "lang", "n_chars")
+
+
 def tool_allow_list(spark: SparkSession, d: str) -> DataFrame:
     profiles = table(spark, d, "events").groupBy(F.col("user_id").alias("profile")).agg(F.sort_array(F.collect_set("event_type")).alias("types"))
     profiles = profiles.select("profile", F.slice("types", 1, 2).alias("tools"))
@@ -130,6 +134,7 @@ QUERIES: dict[str, Query] = {
     "follow_depth_1": follow_depth_1,
     "dangling_links": dangling_links,
     "no_silent_substitution": no_silent_substitution,
+    "reconciled_lines": reconciled_lines,
     "tool_allow_list": tool_allow_list,
     "ext_event_windows": ext_event_windows,
     "ext_pricing_summary": ext_pricing_summary,
@@ -158,12 +163,13 @@ ORACLE: dict[str, str] = {
     "selector_domain": f"SELECT family, form, topic FROM {_values('family', FAMILIES)}, {_values('form', FORMS)}, {_values('topic', TOPICS)}",
     "link_extraction": "SELECT 'n' || n_nationkey AS src, 'ref' AS field, CAST(n_regionkey AS VARCHAR) AS target, 'geo' AS package FROM nation",
     "follow_depth_1": """WITH RECURSIVE edges AS (SELECT 'n' || n_nationkey AS src, CAST(n_regionkey AS VARCHAR) AS target FROM nation),
-        r AS (SELECT 'n' || n_nationkey AS node, 0 AS depth FROM nation WHERE n_nationkey < 3
+        r AS (SELECT 'n' || n_nationkey AS node, 0 AS depth FROM nation
         UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 1)
         SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""",
-    "dangling_links": "SELECT c_custkey, c_nationkey AS target FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)",
+    "dangling_links": "SELECT source, doc_id AS target FROM documents WHERE doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)",
     "no_silent_substitution": """SELECT doc_id, quality AS verified, CASE WHEN n_chars > 200 THEN 1 ELSE 0 END AS calculated,
         CASE WHEN quality IS NOT NULL THEN 'verified' ELSE 'calculated_only' END AS provenance FROM documents LEFT JOIN labels USING (doc_id)""",
+    "reconciled_lines": "SELECT doc_id, lang, n_chars FROM documents WHERE n_chars = length(text)",
     "tool_allow_list": """WITH p AS (SELECT user_id, list_sort(list(DISTINCT event_type))[1:2] AS tools FROM events GROUP BY 1)
         SELECT event_id, event_type FROM events JOIN p USING (user_id) WHERE list_contains(tools, event_type)""",
     "ext_event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events FROM events GROUP BY 1, 2",
