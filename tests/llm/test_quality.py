@@ -57,7 +57,7 @@ def test_fertility_query(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         want = brute_fertility(t)
         assert np.allclose((r.n_tokens, r.chars_per_token, r.fallback_share, r.token_entropy), want)
-        b = quality.BANDS.get(docs[r.doc_id].lang, quality.OTHER)
+        b = quality.BANDS.get(docs[r.doc_id].lang) or quality.SCRIPTS.get(r.script, quality.OTHER)
         assert r.kept == (not r.base_failed and b.min_chars_per_token <= want[1] <= b.max_chars_per_token and want[2] <= b.max_fallback_share and want[3] >= b.min_entropy)
 
 
@@ -77,6 +77,30 @@ def test_edges(spark):
     assert quality.assess(df.drop("lang", "kept")).count() == 5
     assert quality.filter_quality(df).columns == df.columns and quality.filter_quality(df).count() == 0
     assert quality.assess(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "lang", "'a' AS language", "'b' AS __lang", "'c' AS Script")
+    out = quality.assess(clash)
+    assert out.columns[:5] == ["doc_id", "text", "lang", "language", "__lang"] and all(r.language == "a" and r.script in ("Latin", "other") for r in out.collect())
+    assert quality.filter_quality(clash).columns == clash.columns
+
+
+ARTICLES = {
+    "Cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, пола, языка, религии, политических или иных убеждений. Каждый человек имеет право на жизнь.",
+    "Greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άνθρωπος δικαιούται να επικαλείται όλα τα δικαιώματα και όλες τις ελευθερίες, χωρίς καμία απολύτως διάκριση, ειδικότερα ως προς τη φυλή, το χρώμα, το φύλο, τη γλώσσα, τις θρησκείες και τις πολιτικές.",
+    "Arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات الواردة في هذا الإعلان، دون أي تمييز، كالتمييز بسبب العنصر أو اللون أو الجنس أو اللغة أو الدين أو الرأي السياسي أو أي رأي آخر، أو الأصل الوطني أو الاجتماعي أو الثروة أو الميلاد.",
+    "Hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 모든 사람은 인종, 피부색, 성, 언어, 종교, 정치적 또는 기타의 견해, 민족적 또는 사회적 출신, 재산, 출생 또는 기타의 신분과 같은 어떠한 종류의 차별이 없이, 이 선언에 규정된 모든 권리와 자유를 향유할 자격이 있다. 모든 사람은 생명과 신체의 자유를 갖는다.",
+    "Latin": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej deklaracji bez względu na jakiekolwiek różnice rasy, koloru, płci, języka, wyznania, poglądów politycznych i innych przekonań, narodowości, pochodzenia społecznego, majątku, urodzenia.",
+}
+
+
+def test_scripts_have_bands_of_their_own(spark):
+    rows = [(k, t, None) for k, t in ARTICLES.items()] + [(f"{k} loop", " ".join(t.split()[0] + t.split()[1] * 9 + str(i) for i in range(60)), "xx") for k, t in ARTICLES.items()] + [("none", "12 34 " * 40, None)]
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()}
+    for k in ARTICLES:
+        assert got[k].script == k and not got[k].base_failed and got[k].kept, k
+        assert got[f"{k} loop"].script == k and not got[f"{k} loop"].kept, k
+    assert got["none"].script == "other"
+    assert quality.scripts(*vec.flat(pa.array(["", None, "漢字かな", "สวัสดี", "שלום", "नमस्ते", "a漢字"]))) == ["other", "other", "Han", "Thai", "Hebrew", "Indic", "Han"]
+
 
 
 FLUENT = [

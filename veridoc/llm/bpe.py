@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from veridoc.llm import vec
-from veridoc.llm.common import kept, ranks, token_lengths, vocabulary, with_columns
+from veridoc.llm.common import fresh, kept, ranks, token_lengths, vocabulary, with_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -259,7 +259,8 @@ def decode(df: DataFrame, column: str = "token_ids", out: str = "decoded", path:
 
     # the ids travel as little-endian bytes, the form that distinct runs are kept in
     hexes = F.transform(F.coalesce(F.col(f"`{column}`"), F.array().cast("array<int>")), lambda x: F.lpad(F.hex(x.cast("bigint")), 8, "0"))
-    packed = df.withColumn("__ids", F.unhex(F.array_join(hexes, "")))
+    (name,) = fresh(df, "ids")
+    packed = df.withColumn(name, F.unhex(F.array_join(hexes, "")))
 
     def make():
         c = coder(path or vocabulary(VOCABULARY))
@@ -275,7 +276,7 @@ def decode(df: DataFrame, column: str = "token_ids", out: str = "decoded", path:
 
         return fn
 
-    return with_columns(packed, "__ids", f"`{out}` binary", make, keep=df.columns)
+    return with_columns(packed, name, f"`{out}` binary", make, keep=df.columns)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", column: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -396,9 +396,9 @@ def _unsettled(distances: DataFrame, labels: DataFrame, reach: float, n: int) ->
     pivots = distances.select(F.col("a").alias("cell"), F.col("a").alias("node"), F.lit(0.0).alias("far"), F.col("n_a").alias("w")).distinct()
     labelled = members.unionByName(pivots).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = checkpointed(labelled, 2 * n)
-    sizes = labelled.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("near"))
+    sizes = checkpointed(labelled.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("near")), 2 * n)
     main = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("size"))
-    rest = checkpointed(sizes.join(main.filter("groups > 1 AND size > 2"), "cell").filter("label <> main").groupBy("cell").agg(F.min("near").alias("near")), n)
+    rest = checkpointed(skew_join(sizes, main.filter("groups > 1 AND size > 2").select("cell", "main"), "cell").filter("label <> main").groupBy("cell").agg(F.min("near").alias("near")), n)
     if rest.isEmpty():
         return None
     open_ = skew_join(labelled, rest, "cell").filter(F.col("far") >= F.col("near") - reach)

@@ -5,8 +5,12 @@ a millisecond. Frames are laced into SimpleBlocks, blocks stand in clusters, and
 cluster has a cue. The parser handles variable-length ids and sizes, unknown sizes,
 SimpleBlock and BlockGroup, and no, Xiph, fixed-size and EBML lacing.
 
+A frame of a lace has the block's timestamp and, where its track states how long a frame lasts,
+that time after the one before.
+
 Null is an empty text; an empty payload is padded to one unit; equal texts give equal bytes.
-Nothing is shuffled, and a text takes memory in proportion to its own size.
+Nothing is shuffled, and a text takes memory in proportion to its own size. An empty table
+gives no rows; a column of the input named like a result is replaced, the others stay.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from veridoc.llm.common import with_columns
 
 #: Element ids of the published format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
-TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0xAE, 0xD7, 0x73C5, 0x83, 0x86
+TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
@@ -87,7 +91,7 @@ _HEAD = element(EBML, _uint(0x4286, 1), _uint(0x42F7, 1), _uint(0x42F2, 4), _uin
 _TRACKS = element(
     TRACKS,
     element(
-        TRACK_ENTRY, _uint(TRACK_NUMBER, 1), _uint(TRACK_UID, 1), _uint(TRACK_TYPE, 2), element(CODEC_ID, b"A_PCM/INT/LIT"),
+        TRACK_ENTRY, _uint(TRACK_NUMBER, 1), _uint(TRACK_UID, 1), _uint(TRACK_TYPE, 2), _uint(DEFAULT_DURATION, FRAME * 1_000_000 // SAMPLES_A_MS), element(CODEC_ID, b"A_PCM/INT/LIT"),
         element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", 8000.0)), _uint(CHANNELS, 1), _uint(BIT_DEPTH, 8)),
     ),
 )
@@ -114,9 +118,11 @@ def write(payload: bytes) -> bytes:
 
 @dataclass
 class Media:
-    #: track, timestamp in ns of the block's first frame, number of the frame in its block, first byte, size
+    #: track, timestamp in ns, number of the frame in its block, first byte, size
     packets: list[tuple[int, int, int, int, int]] = field(default_factory=list)
     tracks: dict[int, str] = field(default_factory=dict)
+    #: ns that a frame of the track lasts, where it is stated
+    durations: dict[int, int] = field(default_factory=dict)
     #: time in ns, track, byte of the cluster in the file
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: list[int] = field(default_factory=list)
@@ -201,9 +207,9 @@ def parse(b: bytes) -> Media:
                 sizes, p = _lace(b, p + 3, stop, flags)
                 when = (state["cluster"] + relative) * out.scale
                 for i, n in enumerate(sizes):
-                    out.packets.append((track, when, i, p, n))
+                    out.packets.append((track, when + i * out.durations.get(track, 0), i, p, n))
                     p += n
-            elif kind in (CLUSTER_TIMESTAMP, TIMESTAMP_SCALE, TRACK_NUMBER, CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION):
+            elif kind in (CLUSTER_TIMESTAMP, TIMESTAMP_SCALE, TRACK_NUMBER, DEFAULT_DURATION, CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION):
                 n = int.from_bytes(b[body:stop], "big")
                 if kind == CLUSTER_TIMESTAMP:
                     state["cluster"] = n
@@ -211,6 +217,8 @@ def parse(b: bytes) -> Media:
                     out.scale = n
                 elif kind == TRACK_NUMBER:
                     state["track"] = n
+                elif kind == DEFAULT_DURATION:
+                    out.durations[state["track"]] = n
                 elif kind == CUE_TIME:
                     state["cue"][0] = n * out.scale
                 elif kind == CUE_TRACK:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veridoc.llm.common import with_columns
+from veridoc.llm.common import fresh, with_columns
 
 #: In the order in which kinds at one start are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "private_key", "jwt", "slack", "google", "stripe")
@@ -232,8 +232,9 @@ def redact_secrets(df: DataFrame, column: str = "text") -> DataFrame:
 
         return fn
 
-    out = with_columns(df, column, "__redacted string", make)
-    return out.withColumn(column, out["__redacted"]).select(*columns)
+    (name,) = fresh(df, "redacted")
+    out = with_columns(df, column, f"`{name}` string", make)
+    return out.withColumn(column, out[name]).select(*(f"`{c}`" for c in columns))
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:

@@ -7,7 +7,8 @@ add up to the count of the text, which encoding sections apart would not give.
 
 Sections are the lines of a text, each with its line end, or the fields of a row, joined by
 one line feed that belongs to the field before. An empty or null text has no tokens and one
-section; equal texts have equal counts. One pass, no shuffle.
+section; equal texts have equal counts. An empty table gives no rows; a column of the input
+named like a result, in any case, is replaced, the others stay. One pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm import vec
-from veridoc.llm.common import bpe_cache, token_lengths, vocabulary, with_columns
+from veridoc.llm.common import bpe_cache, fresh, token_lengths, vocabulary, with_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -100,9 +101,9 @@ def attribute_tokens(df: DataFrame, column: str = "text", rule: str = "largest",
 def attribute_fields(df: DataFrame, fields: list[str], rule: str = "largest", path: str | None = None) -> DataFrame:
     """Append ``field_tokens map<string,bigint>``: the tokens of each field when the row is encoded as its fields joined by line feeds. Null is empty."""
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in fields]
-    packed = df.withColumn("__joined", F.concat_ws("\n", *parts)).withColumn("__sizes", F.concat_ws(",", *(F.octet_length(p).cast("string") for p in parts)))
-    sep = F.lit("\u0000")
-    packed = packed.withColumn("__packed", F.concat("__sizes", sep, "__joined")).drop("__joined", "__sizes")
+    sizes = F.concat_ws(",", *(F.octet_length(p).cast("string") for p in parts))
+    (name,) = fresh(df, "packed")
+    packed = df.withColumn(name, F.concat(sizes, F.lit("\u0000"), F.concat_ws("\n", *parts)))
 
     def make():
         where = path or vocabulary(VOCABULARY)
@@ -123,4 +124,4 @@ def attribute_fields(df: DataFrame, fields: list[str], rule: str = "largest", pa
 
         return fn
 
-    return with_columns(packed, "__packed", "field_tokens map<string,bigint>", make, keep=df.columns)
+    return with_columns(packed, name, "field_tokens map<string,bigint>", make, keep=df.columns)
