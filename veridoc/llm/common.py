@@ -71,20 +71,23 @@ def with_columns(df: DataFrame, column: str, fields: str, make: Callable[[], Cal
     added = ddl(fields)
     taken = {f.name.lower() for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
-    df = df.select(*dict.fromkeys([*(f"`{c}`" for c in kept), f"`{column}`"]))
     schema = T.StructType([*(df.schema[c] for c in kept), *added.fields])
-    arrow = to_arrow_schema(schema)
+    # Python stages don't take columns of any name, so they are numbered there
+    numbered = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+    arrow = to_arrow_schema(numbered)
+    given = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), *([] if column in kept else [F.col(f"`{column}`").alias("given")]))
+    read = f"c{kept.index(column)}" if column in kept else "given"
 
     def run(batches):
         entered(fields)
         fn = make()
-        for b in vec.slices(batches, column):
-            new = fn(b.column(column))
-            old = [b.column(c) for c in kept]
+        for b in vec.slices(batches, read):
+            new = fn(b.column(read))
+            old = [b.column(f"c{i}") for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip([*old, *new], arrow)], schema=arrow)
         released()
 
-    return df.mapInArrow(run, schema)
+    return given.mapInArrow(run, numbered).toDF(*schema.names)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -107,8 +110,8 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of a small table in a file, and of one that a Python worker computes.
-ROWS_A_FILE, ROWS_A_TASK = 200_000, 5_000
+#: Rows of a small table in a file, and of one that takes work to make.
+ROWS_A_FILE, ROWS_A_TASK = 200_000, 1_000
 
 
 def checkpointed(df: DataFrame, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
