@@ -74,13 +74,16 @@ def test_saturated_cells_leave_their_rest_to_others(spark):
 def test_many_cells_give_the_same(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     given = {"lang": {"en": 0.6, "xx": 0.2, "de": 0.0}}
-    want = [sorted(map(tuple, mixing.draw(df, targets=t).collect())) for t in (None, given)]
-    mixed = sorted(r.doc_id for r in mixing.mix(df).collect())
-    assert not any(r[-1] for r in want[1] if r[2] == "de" and r[4])
-    monkeypatch.setattr(mixing, "FEW_CELLS", 3)
+    cells = mixing.checkpointed(cells_of(spark, "sf0.001"), 1000)
+    probabilities = lambda t: sorted((r.source, r.lang, r.topic, round(r.probability, 7)) for r in mixing.rake(cells, targets=t, sweeps=4)[0].collect())
+    want, mixed = [probabilities(t) for t in (None, given)], sorted(r.doc_id for r in mixing.mix(df, targets=given).collect())
+    assert not any(r[-1] for r in want[1] if r[1] == "de") and mixed
     monkeypatch.setattr(common, "HOT_ROWS", 20)
-    assert [sorted(map(tuple, mixing.draw(df, targets=t).collect())) for t in (None, given)] == want
-    assert sorted(r.doc_id for r in mixing.mix(df).collect()) == mixed
+    rate = mixing.rates(mixing.described(df), targets=given)
+    monkeypatch.setattr(mixing, "FEW_CELLS", 3)
+    assert [probabilities(t) for t in (None, given)] == want
+    monkeypatch.setattr(mixing, "rates", lambda *a: rate)  # a join instead of a broadcast
+    assert sorted(r.doc_id for r in mixing.mix(df, targets=given).collect()) == mixed
 
 
 def test_a_topic_column_is_taken(spark):

@@ -79,7 +79,6 @@ def test_stages_one_by_one(spark):
     texts = {r.doc_id: r.text for r in mixed.collect()}
     out = step["tokens"](spark, mixed, SF).collect()
     assert len(out) == len(texts)
-    assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(out)
     for r in out:
         assert r.n_tokens == len(enc.encode_ordinary(texts[r.doc_id])) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 

@@ -105,9 +105,10 @@ def test_partitions_are_dealt_one_by_one(spark):
         assert len(set(thrice)) == 3 * n and [chunks._murmur(v) % n for v in thrice] == sorted(3 * list(range(n)))
 
 
-@pytest.mark.parametrize("seed,length,gram", [(1, 10, 4), (2, 10, 10), (3, 50, 16)])
-def test_equals_brute_force(spark, monkeypatch, seed, length, gram):
+@pytest.mark.parametrize("seed,length,gram,even", [(1, 10, 4, 8192), (2, 10, 10, 0), (3, 50, 16, 8192)])
+def test_equals_brute_force(spark, monkeypatch, seed, length, gram, even):
     monkeypatch.setattr(chunks, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(chunks, "EVEN", even)
     monkeypatch.setattr(suffix_dedup, "AT_ONCE", 50)
     rng = random.Random(seed)
     passages = ["".join(rng.choice("abcé ") for _ in range(rng.randint(length - 3, 3 * length))) for _ in range(12)]
