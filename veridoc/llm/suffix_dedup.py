@@ -44,7 +44,7 @@ from veridoc.llm.common import entered, released
 
 LENGTH, GRAM = 50, 16
 #: Windows whose suffixes are ordered at once, but for those of one minimizer.
-AT_ONCE = 300_000
+AT_ONCE = 150_000
 #: Tasks that the stretches of a hot minimizer are dealt to first.
 SALTS = 64
 #: Steps from suffix to suffix after which those that still look for a smaller value are settled by a stack.
@@ -201,10 +201,12 @@ class Chunk(Ordered):
         size = np.diff(self.off)
         n = np.where(self.null, 0, np.maximum(size - length + 1, 0))
         self.doc = np.repeat(np.arange(len(size)), n)
-        self.at = vec.gather(np.arange(len(self.buf)), self.off[:-1], n)
+        starts = np.zeros(len(self.buf) + 1, np.int8)  # places where windows of a text begin, and end
+        np.add.at(starts, self.off[:-1][n > 0], 1)
+        np.add.at(starts, (self.off[:-1] + n)[n > 0], -1)
+        self.at = np.flatnonzero(np.cumsum(starts[:-1], dtype=np.int8))
         if len(self.at):
-            every = np.arange(len(self.buf) - gram + 1)
-            grams = vec.span_hashes(self.buf, every, every + gram)
+            grams = vec.gram_hashes(self.buf, gram)
             # minima crowd at the low end, so they are scrambled again before they are dealt by range
             self.low = vec.mix(sliding_min(grams, length - gram + 1)[self.at])
         else:

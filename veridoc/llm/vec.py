@@ -49,10 +49,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(by)
     x ^= x >> np.uint64(33)
     return x
 
@@ -92,6 +91,20 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int =
     return h
 
 
+def gram_hashes(buf: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all strings of ``size`` bytes, from every place where one fits; no index is needed."""
+    n = len(buf) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    lane, h = lanes(buf), None
+    for k in range(0, size, 8):
+        x = np.array(lane[k : k + n])
+        if size - k < 8:
+            x &= _KEEP[size - k]
+        h = mix((x if h is None else h ^ x) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93))
+    return h
+
+
 def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether a[at:at+size] equals b[bt:bt+size], span by span."""
     out = np.ones(len(size), bool)
