@@ -8,6 +8,7 @@ import gc
 import itertools
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -166,6 +167,18 @@ def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """For an action within: texts go to Python workers in batches of so many rows at most; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # -- vocabularies -----------------------------------------------------------------------------
 
 

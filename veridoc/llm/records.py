@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm import vec
-from veridoc.llm.common import entered, kept, partitions_for, released, shared_folder, vocabulary
+from veridoc.llm.common import entered, kept, partitions_for, released, shared_folder, small_batches, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 NULL_ID, WIDE = 1, 2
@@ -174,7 +174,8 @@ def write_records(df: DataFrame, folder: str, id_col: str = "doc_id", column: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
         released()
 
-    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    with small_batches(df.sparkSession):
+        ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
 def build_index(spark, folder: str, index: str) -> None:
