@@ -90,10 +90,10 @@ def tokenizer(path: str):
 
 
 @kept
-def added_tokens(path: str) -> re.Pattern | None:
-    """Where one of the file's added tokens stands in bytes."""
-    found = [t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values()]
-    return re.compile(b"(?=(" + b"|".join(re.escape(x) for x in sorted(found, key=len)) + b"))") if found else None
+def added_tokens(path: str) -> tuple[list[bytes], re.Pattern]:
+    """The file's added tokens in bytes, and an expression that finds every place where one stands."""
+    found = sorted((t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values()), key=len)
+    return found, re.compile(b"(?=(" + b"|".join(map(re.escape, found)) + b"))")
 
 
 @kept
@@ -138,8 +138,10 @@ def token_ids(buf: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
     held = piece_cache(path)
     slots = held.slots(buf, start, end)
     ids, at = held.gather(slots), vec.offsets_by_text(text_of, held.lengths(slots), len(off) - 1)
-    added, raw = added_tokens(path), buf.tobytes()
-    places = np.array([(m.start(), m.end(1)) for m in added.finditer(raw)] if added else [], np.int64).reshape(-1, 2)
+    (added, expression), raw = added_tokens(path), buf.tobytes()
+    if not any(x in raw for x in added):
+        return ids, at
+    places = np.array([(m.start(), m.end(1)) for m in expression.finditer(raw)], np.int64).reshape(-1, 2)
     holds = np.searchsorted(off, places[:, 0], "right") - 1
     holds = np.unique(holds[places[:, 1] <= off[holds + 1]]).tolist()
     if not holds:
