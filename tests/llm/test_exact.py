@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from veridoc.llm import bpe, jaccard, quality, records, token_counts, vec
+from veridoc.llm import bpe, common, jaccard, quality, records, token_counts, vec
 from veridoc.llm.common import bpe as library
 from veridoc.llm.common import vocabulary
 
@@ -116,3 +116,28 @@ def test_a_word_of_a_megabyte_takes_linear_time():
     assert time.process_time() - begun < 180
     core = library(vocabulary(bpe.VOCABULARY))._core_bpe
     assert ids.tolist() == core.encode_single_piece(w) + core.encode_single_piece(b"ab" * 50_000)
+
+
+class _Session:
+    """A session without spark.checkpoint.dir, on some master."""
+
+    def __init__(self, spark, master):
+        self.conf, self.sparkContext, self._jvm, self._jsc, self.master, self.dir = self, self, spark._jvm, spark._jsc, master, None
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.dir
+
+    def setCheckpointDir(self, path):
+        self.dir = path
+
+
+def test_folders_are_shared(spark):
+    assert common.shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    for master in ("local", "local[4]", "local[*, 2]"):
+        assert common.shared_folder(_Session(spark, master), "x").startswith("file:///")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            common.shared_folder(_Session(spark, master), "x")

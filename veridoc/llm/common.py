@@ -6,6 +6,8 @@ import base64
 import ctypes
 import gc
 import itertools
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -94,10 +96,15 @@ def with_columns(df: DataFrame, column: str, fields: str, make: Callable[[], Cal
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder where all executors and the driver can read and write: below spark.checkpoint.dir, or the folder given to ``SparkContext.setCheckpointDir``.
 
-    Raises ValueError where neither is set: no folder of one machine would do. The folder goes
-    when the application ends.
+    Where neither is set, a session in one process has a temporary folder of its machine, and
+    any other raises ValueError: no folder of one machine would do. The folder goes when the
+    application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base and re.fullmatch(r"local(\[.*\])?", context.master):
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='veridoc-')}")
+        base = context.getCheckpointDir()
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
