@@ -44,7 +44,7 @@ def test_given_targets_are_met(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     given = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, "topic": {"short": 0.3}}
     cells = cells_of(spark, "sf0.1")
-    got, want = margins_of(cells, mixing.rake(cells, 0.2, given), 0.2)
+    got, want = margins_of(cells, mixing.rake(cells, 0.2, given, tolerance=1e-7), 0.2)
     assert all(abs(want["lang"][v] - x) < 1e-9 for v, x in given["lang"].items()) and abs(want["topic"]["short"] - 0.3) < 1e-9
     assert all(abs(got[m][v] - want[m][v]) < 1e-5 for m in mixing.MARGINS for v in want[m])
     # the documents that are drawn have these margins too, and the budget
@@ -63,7 +63,7 @@ def test_saturated_cells_leave_their_rest_to_others(spark):
     rows = [("a", "en", "x", 300), ("a", "de", "x", 700), ("b", "en", "x", 50), ("b", "de", "x", 950), ("c", "en", "x", 1600), ("c", "de", "x", 400)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
     given = {"source": {"a": 0.3, "b": 0.3, "c": 0.4}, "lang": {"en": 0.5, "de": 0.5}}
-    got, want = margins_of(cells, mixing.rake(cells, 0.5, given), 0.5)
+    got, want = margins_of(cells, mixing.rake(cells, 0.5, given, tolerance=1e-7), 0.5)
     for m in mixing.MARGINS:
         assert all(abs(got[m][v] - want[m][v]) < 1e-4 for v in want[m]), (m, got[m], want[m])
     # more than all tokens of a value can't be drawn: what is over goes to the others

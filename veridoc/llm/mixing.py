@@ -37,7 +37,7 @@ MARGINS = ("source", "lang", "topic")
 #: Without given targets, target shares are present shares to this power: 1 keeps the mix, 0 makes values equal.
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Wanted part of all tokens; the largest miss of a target at which raking ends; sweeps over the margins at most.
-BUDGET, TOLERANCE, SWEEPS = 0.5, 1e-6, 60
+BUDGET, TOLERANCE, SWEEPS = 0.5, 1e-4, 60
 #: Sweeps between looks at what is missed; raking ends when these leave more of it than this part.
 SWEEPS_A_CHECK, STALLED = 4, 0.8
 #: Cells that one task rakes, and that may be broadcast.
