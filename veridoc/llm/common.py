@@ -119,7 +119,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 #: Rows of a small table in a file, and of one that takes work to make.
-ROWS_A_FILE, ROWS_A_TASK = 200_000, 1_000
+ROWS_A_FILE, ROWS_A_TASK = 200_000, 2_500
 
 
 def checkpointed(df: DataFrame, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
@@ -154,10 +154,11 @@ def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     their rows don't move, the others are joined by a shuffle.
     """
     total = left.count()
-    counts = checkpointed(left.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter((F.col("n_rows") > HOT_ROWS) & (F.col("n_rows") > total // HOT_KEYS)).select(key), min(HOT_KEYS, total // HOT_ROWS))
-    if counts.isEmpty():
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter((F.col("n_rows") > HOT_ROWS) & (F.col("n_rows") > total // HOT_KEYS)).select(key)
+    found = counts.collect()  # HOT_KEYS at most
+    if not found:
         return left.join(right, key, "left")
-    hot = F.broadcast(counts)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, counts.schema))
     some = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
     return some.unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))
 

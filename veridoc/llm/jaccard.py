@@ -268,6 +268,11 @@ def _runs(values: np.ndarray, weights: int) -> list[np.ndarray]:
     return [np.flatnonzero(part == k) for k in range(parts)]
 
 
+def _files(spark, tasks: int) -> int:
+    """A third of the tasks, but enough for all cores: what each task writes is small, and files cost time to make."""
+    return max(2 * spark.sparkContext.defaultParallelism, tasks // 3)
+
+
 def _cells(sets: DataFrame, space: Space, tasks: int) -> DataFrame:
     """Distinct pairs (pivot ``a``, member ``b``) of cells with two members or more."""
 
@@ -352,7 +357,7 @@ def _cells(sets: DataFrame, space: Space, tasks: int) -> DataFrame:
 
     dealt = sets.select("key", "shingles").mapInArrow(pack, "bucket int, names binary, keys binary").repartition(tasks, "bucket")
     found = dealt.mapInArrow(meet, "a bigint, salt int, members binary").repartition(tasks, "a", "salt")
-    return checkpointed(found.mapInArrow(merge, "a bigint, b bigint"))
+    return checkpointed(found.mapInArrow(merge, "a bigint, b bigint").coalesce(_files(sets.sparkSession, tasks)))
 
 
 def _common(pivot: np.ndarray, s: np.ndarray) -> int:
@@ -591,7 +596,7 @@ def _labelled(df: DataFrame, id_col: str, column: str, words: int, threshold: Fr
     space = Space(Fraction(threshold))
     dealt = deal(df, id_col, column)
     tasks = dealt.n
-    rows, classes = _classes(checkpointed(_candidates(dealt, words, space)))
+    rows, classes = _classes(checkpointed(_candidates(dealt, words, space).coalesce(_files(df.sparkSession, tasks))))
     each = rows.select("id", "n", "key", "k1", "k2")
     sets = rows.filter("shingles IS NOT NULL").select("key", "shingles")
     sets = checkpointed(sets.dropDuplicates(["key"]), sets.count(), ROWS_A_TASK)
