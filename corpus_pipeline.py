@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last keep the
 columns of ``documents``; the last returns the tokens of each text. ``run`` writes each
-stage's rows as Parquet to the shared folder and reads them back for the next.
+stage's rows as Parquet to the shared folder and reads them back for the next; then its predecessor's go.
 
 Null and empty texts are rejected by the first stage. Rows that repeat an id are rows of
 their own everywhere. An empty table goes through as an empty table.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.llm import bpe, jaccard, mixing, quality, secrets
-from veridoc.llm.common import shared_folder
+from veridoc.llm.common import dropped, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = shared_folder(spark, f"pipeline-{name}")
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            dropped(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

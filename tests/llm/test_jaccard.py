@@ -6,6 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veridoc.llm import common, graph, jaccard, registry, vec
 
@@ -172,6 +173,38 @@ def test_regions_over_tasks_equal_all_pairs(spark, monkeypatch):
     assert got == want and len(set(want)) < len(want) and len(calls) > 1
 
 
+def shuffle_files(spark):
+    return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+
+def test_files_go_when_nothing_reads_them(spark, tmp_path, monkeypatch):
+    before = shuffle_files(spark)
+    out = common.checkpointed(spark.range(1000).repartition(5, "id"))
+    assert not {x for x in shuffle_files(spark) - before if x.endswith(".data")} and out.count() == 1000
+    monkeypatch.setattr(common, "shared_folder", lambda s, name, n=iter(range(10**6)): f"file://{tmp_path}/{name}-{next(n)}")
+    rows = corpus(3, 12, 5)
+    got = {r.doc_id: r.component_id for r in jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows)
+    left = [spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()]
+    assert left and not any("shingles" in c for c in left)
+
+
+def test_rows_in_buckets_do_not_move(spark, monkeypatch):
+    rows = spark.range(500).select("id", F.lit("x").alias("v"))
+    held = common.bucketed(rows.repartition(3, "id"), "id", 3)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.range(0, 1000, 5).withColumnRenamed("id", "b").join(held, F.col("b") == F.col("id"))
+        assert joined.count() == 100
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    common.forget(held)
+
+
 @pytest.mark.parametrize("bits", [0, 2])
 def test_sets_of_one_name_stay_apart(spark, monkeypatch, bits):
     real = jaccard._classes

@@ -122,16 +122,48 @@ def dropped(spark: SparkSession, path: str) -> None:
 ROWS_A_FILE, ROWS_A_TASK = 200_000, 2_500
 
 
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """For an action within: its shuffle files go when it ends, not when the driver collects its garbage; the session's setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
     """The same rows without lineage, kept in the shared folder as Parquet; survives lost executors.
 
     ``rows`` is a bound of the number of rows, if one is known: a small table goes to few files.
     """
     path = shared_folder(df.sparkSession, "cut")
-    (df if rows is None else df.coalesce(max(1, -(-rows // each)))).write.parquet(path)
+    with _cleaned(df.sparkSession):
+        (df if rows is None else df.coalesce(max(1, -(-rows // each)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """As :func:`checkpointed`, in n buckets of a column: joins by it bring the other side to these rows, which don't move.
+
+    The rows should come in n partitions of that column. The table is in the catalog only while it is made.
+    """
+    spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
+    with _cleaned(spark):
+        df.write.format("parquet").option("path", shared_folder(spark, "cut")).bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the folder stays
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the folder of a table that :func:`checkpointed` or :func:`bucketed` made, and that nothing reads any more."""
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        dropped(df.sparkSession, path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as no column of the table has."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from veridoc.llm import vec
 from veridoc.llm.chunks import Dealt, Ordered, deal, elsewhere, unpacked
-from veridoc.llm.common import ROWS_A_TASK, checkpointed, entered, fresh, released, skew_join, with_columns
+from veridoc.llm.common import ROWS_A_TASK, bucketed, checkpointed, entered, forget, fresh, released, skew_join, with_columns
 from veridoc.llm.graph import components
 
 #: Growth of the size bands; rows of signatures packed, or met, at once.
@@ -596,10 +596,12 @@ def _labelled(df: DataFrame, id_col: str, column: str, words: int, threshold: Fr
     space = Space(Fraction(threshold))
     dealt = deal(df, id_col, column)
     tasks = dealt.n
-    rows, classes = _classes(checkpointed(_candidates(dealt, words, space).coalesce(_files(df.sparkSession, tasks))))
-    each = rows.select("id", "n", "key", "k1", "k2")
-    sets = rows.filter("shingles IS NOT NULL").select("key", "shingles")
-    sets = checkpointed(sets.dropDuplicates(["key"]), sets.count(), ROWS_A_TASK)
+    files = _files(df.sparkSession, tasks)
+    given = checkpointed(_candidates(dealt, words, space).coalesce(files))
+    rows, classes = _classes(given)
+    sets = bucketed(rows.filter("shingles IS NOT NULL").select("key", "shingles").repartition(files, "key").dropDuplicates(["key"]), "key", files)
+    each = checkpointed(rows.select("id", "n", "key", "k1", "k2"))
+    forget(given)
     pairs = _cells(sets, space, tasks)
     distances = checkpointed(_to_pivots(pairs, sets, tasks), pairs.count(), ROWS_A_TASK)
     linked = distances.filter(F.expr(f"{space.q}L * common >= {space.p}L * (n_a + n_b - common)")).select("a", "b")
@@ -610,6 +612,7 @@ def _labelled(df: DataFrame, id_col: str, column: str, words: int, threshold: Fr
         more = reduce(DataFrame.unionByName, _by_regions(members, sets, space, tasks, 2 * n))
         if not more.isEmpty():
             labels = components(linked.unionByName(more), n + more.count())
+    forget(sets)
     smallest = labels.join(classes, labels.node == classes.key).groupBy("label").agg(F.min("first").alias("smallest"))
     return each, classes, labels.join(smallest, "label").select(F.col("node").alias("key"), "label", "smallest")
 
