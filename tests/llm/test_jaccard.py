@@ -173,6 +173,33 @@ def test_regions_over_tasks_equal_all_pairs(spark, monkeypatch):
     assert got == want and len(set(want)) < len(want) and len(calls) > 1
 
 
+def test_only_members_outside_the_largest_group_are_at_home(spark):
+    distances = spark.createDataFrame([(1, b, 100 if b < 40 else 84, 104, 104) for b in range(2, 50)], "a long, b long, common long, n_a long, n_b long")
+    labels = spark.createDataFrame([(b, 1) for b in range(1, 40)], "node long, label long")
+    rows = jaccard._unsettled(distances, labels, 0.25, 48).collect()
+    assert {r.node for r in rows if r.home} == set(range(40, 50)) and any(not r.home for r in rows)
+
+
+def test_rows_of_a_large_group_follow_its_size(spark, monkeypatch):
+    for name, n in (("LEAF", 1500), ("LEAF_MEMBERS", 6)):
+        monkeypatch.setattr(jaccard, name, n)
+    rng, space = random.Random(8), jaccard.Space(Fraction(4, 5))
+    made = []
+    for name in ("_split", "_in_blocks"):
+        real = getattr(jaccard, name)
+        monkeypatch.setattr(jaccard, name, lambda large, *a, name=name, real=real: made.append((name, large.count())) or real(large, *a))
+    sets = family(rng, 150, 40, 16)
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "key long, shingles binary")
+    # those of the first 110 are one group already
+    members = spark.createDataFrame([(0, i, 0 if i < 110 else i, i >= 110, len(s)) for i, s in enumerate(sets)], "region long, node long, label long, home boolean, w long")
+    links = {tuple(r) for df in jaccard._by_regions(members, table, space, 4) for r in df.collect()}
+    got, want = groups_of(sets, links | {(0, i) for i in range(110)}, space)
+    every = [(i, j) for i in range(150) for j in range(i) if space.links(*map(np.array, (len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))))]
+    want, _ = groups_of(sets, [*every, *((0, i) for i in range(110))], space)
+    assert got == want and len(set(want)) > 1
+    assert made == [("_in_blocks", 150), ("_split", 0), *made[2:]] and sum(n for _, n in made) == 150
+
+
 def shuffle_files(spark):
     return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
 

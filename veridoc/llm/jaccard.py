@@ -12,7 +12,8 @@ Distances are d = 1 - Jaccard, a link is d <= 1 - threshold = r. Regions join re
 * Members within r of a pivot link to it, so pairs that have one group already aren't compared, and a
   region with one group is done.
 * A region that pivots don't split (its members are all about as far from each other) is joined
-  in blocks of bounded size.
+  in blocks of bounded size, and so is one whose members at home fill a few blocks' sides.
+* A link between groups has an end outside a cell's largest group, so only members outside it are at home.
 
 Regions of the whole corpus would be useless: almost all documents lie at distance 1 of each other
 and so of any pivot, and every window would hold all of them (figures in the README). So a
@@ -57,6 +58,8 @@ STEP, FLUSH = 1.5, 500_000
 CELL, SALTS = 256, 16
 #: Pivots of a region; shingles and members of a region, or a block's side, that one task joins; members that are compared without pivots.
 PIVOTS, LEAF, LEAF_MEMBERS, TINY = 8, 400_000, 1024, 32
+#: Sides of a region's members at home, up to which it goes to blocks unsplit: so they make some 2 * SIDES + 1 times its rows at most.
+SIDES = 4
 #: A region with more of its parent's shingles than this part isn't split again.
 SPLIT = 0.8
 
@@ -403,11 +406,11 @@ def _unsettled(distances: DataFrame, labels: DataFrame, reach: float, n: int) ->
     labelled = checkpointed(labelled, 2 * n)
     sizes = checkpointed(labelled.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("near")), 2 * n)
     main = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("size"))
-    rest = checkpointed(skew_join(sizes, main.filter("groups > 1 AND size > 2").select("cell", "main"), "cell").filter("label <> main").groupBy("cell").agg(F.min("near").alias("near")), n)
+    rest = checkpointed(skew_join(sizes, main.filter("groups > 1 AND size > 2").select("cell", "main"), "cell").filter("label <> main").groupBy("cell").agg(F.min("near").alias("near"), F.first("main").alias("main")), n)
     if rest.isEmpty():
         return None
     open_ = skew_join(labelled, rest, "cell").filter(F.col("far") >= F.col("near") - reach)
-    return open_.select(F.col("cell").alias("region"), "node", "label", F.lit(True).alias("home"), "w")
+    return open_.select(F.col("cell").alias("region"), "node", "label", (F.col("label") != F.col("main")).alias("home"), "w")
 
 
 class _Members:
@@ -511,21 +514,18 @@ def _in_tasks(small: DataFrame, sets: DataFrame, space: Space, tasks: int) -> Da
 
 
 def _in_blocks(whole: DataFrame, sets: DataFrame, space: Space, tasks: int) -> DataFrame:
-    """Links of regions (with their shingles ``total``) that pivots don't split: blocks of some at home with some of all."""
-    side = F.ceil(F.col("total") / (LEAF / 2)).cast("long")
-    m = whole.withColumn("side", side)
-    at_home = m.filter("home").select("region", "node", "label", F.lit(True).alias("home"), F.expr("pmod(xxhash64(node), side)").alias("i"), F.explode(F.expr("sequence(0L, side - 1)")).alias("j"))
-    every = m.select("region", "node", "label", F.lit(False).alias("home"), F.explode(F.expr("sequence(0L, side - 1)")).alias("i"), F.expr("pmod(xxhash64(node, 1), side)").alias("j"))
+    """Links of regions (with the shingles ``total`` of all and ``own`` of those at home) that aren't split: blocks of some at home with some of all."""
+    m = whole.select("*", *(F.ceil(F.col(c) / (LEAF / 2)).cast("long").alias(s) for c, s in (("own", "si"), ("total", "sj"))))
+    at_home = m.filter("home").select("region", "node", "label", F.lit(True).alias("home"), F.expr("pmod(xxhash64(node), si)").alias("i"), F.explode(F.expr("sequence(0L, sj - 1)")).alias("j"))
+    every = m.select("region", "node", "label", F.lit(False).alias("home"), F.explode(F.expr("sequence(0L, si - 1)")).alias("i"), F.expr("pmod(xxhash64(node, 1), sj)").alias("j"))
     rows = at_home.unionByName(every).join(sets, F.col("node") == F.col("key")).select("region", "i", "j", "node", "label", "home", "shingles")
     rows = rows.repartition(tasks, "region", "i", "j").sortWithinPartitions("region", "i", "j", "home", "node")
 
     def run(batches):
         entered("cells")
         for _, held in _grouped(batches, 3):
-            m = _Members(held, space)
-            m.pairs(np.arange(len(held)), m.home)
-            if m.links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*m.links)], names=["a", "b"])
+            if links := _Members(held, space).join():
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
         released()
 
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -578,10 +578,10 @@ def _by_regions(members: DataFrame, sets: DataFrame, space: Space, tasks: int, n
     current = checkpointed(members.withColumn("parent", F.lit(1 << 62)), n)
     while True:
         n = current.count()
-        sizes = current.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("home").alias("any"))
-        live = checkpointed(skew_join(current, sizes.filter("low <> high AND any").select("region", "n", "total"), "region").filter("n IS NOT NULL"), n)
+        sizes = current.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.when(F.col("home"), F.col("w"))).alias("own"))
+        live = checkpointed(skew_join(current, sizes.filter("low <> high AND own IS NOT NULL").select("region", "n", "total", "own"), "region").filter("n IS NOT NULL"), n)
         small = (F.col("total") <= LEAF) & (F.col("n") <= LEAF_MEMBERS)
-        whole = ~small & (F.col("total") > SPLIT * F.col("parent"))
+        whole = ~small & ((F.col("total") > SPLIT * F.col("parent")) | (F.col("own") <= SIDES * LEAF / 2))
         found.append(checkpointed(_in_tasks(live.filter(small), sets, space, tasks), n, ROWS_A_TASK))
         if live.filter(~small).isEmpty():
             return found
